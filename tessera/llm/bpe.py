@@ -16,8 +16,11 @@ further columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +67,15 @@ def pieces_of(data: bytes, cuts: np.ndarray, spaces: np.ndarray) -> list[tuple[b
     return out
 
 
+#: Letters up to U+00FF, then maybe signs: the tokenizer's pattern makes one piece of each, which its model encodes alone.
+_SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*#$%&\"()\[\]{}/\\=+@^`~_-]*)")
+
+
+#: The byte-level alphabet gives bytes without a printable sign of their own the code points from 256 on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class ChunkEncoder:
     """Encodes texts from cores and joins; ids come as little-endian bytes, tokens as the text that decoding gives."""
 
@@ -76,6 +88,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         if self.tokenizer.decoder is not None:
             raise ValueError("joins of decoded text are defined for vocabularies without a decoder, which put a space between tokens")
+        self.plain: dict[bytes, tuple[bytes, str]] = {}
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
         self.chunk_bytes = 0
@@ -85,21 +98,47 @@ class ChunkEncoder:
         """Encodes the words that these pieces have and the tables lack."""
         if len(self.words) > MOST_WORDS:
             self.words.clear()
+        if len(self.plain) > MOST_WORDS:
+            self.plain.clear()
+        if self.chunk_bytes > MOST_CHUNK_BYTES:
+            self.chunks.clear()
+            self.chunk_bytes = 0
         need: set[bytes] = set()
         for piece, core in pieces:
             if not core or piece not in self.chunks:
                 need.update(piece.split())
         need.difference_update(self.words)
-        new = list(need)
-        names = self.names
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        whole, split, letters = [], [], {}
+        for word in need:
+            if m := _SIMPLE.fullmatch(word):
+                split.append((word, *m.groups()))
+                letters[m[1]] = None
+                if m[2]:
+                    letters[m[2]] = None
+            else:
+                whole.append(word)
+        plain, tokenize = self.plain, self.tokenizer.model.tokenize
+        for part in letters:
+            if part not in plain:
+                text = part.lower().decode() if part.isascii() else part.decode().lower().encode().decode("latin-1").translate(_ALPHABET)
+                plain[part] = self._known([t.id for t in tokenize(text)])
+        for word, first, rest in split:
+            a = plain[first]
+            if rest:
+                b = plain[rest]
+                a = (a[0] + b[0], f"{a[1]} {b[1]}")
+            self.words[word] = a
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                ids = found.ids
-                for i in ids:
-                    if i not in names:
-                        names[i] = self.tokenizer.id_to_token(i)
-                self.words[word] = (np.array(ids, "<u4").tobytes(), " ".join([names[i] for i in ids]))
+                self.words[word] = self._known(found.ids)
+
+    def _known(self, ids: list[int]) -> tuple[bytes, str]:
+        names = self.names
+        for i in ids:
+            if i not in names:
+                names[i] = self.tokenizer.id_to_token(i)
+        return array("I", ids).tobytes(), " ".join([names[i] for i in ids])
 
     def encode(self, pieces: list[tuple[bytes, bool]]) -> tuple[bytes, str]:
         """Ids and decoded text of the pieces of one text, after learn()."""
@@ -112,9 +151,6 @@ class ChunkEncoder:
                 got = (b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]]))
                 if core:
                     self.chunk_bytes += len(piece) + len(got[0]) + len(got[1]) + 200
-                    if self.chunk_bytes > MOST_CHUNK_BYTES:
-                        self.chunks.clear()
-                        self.chunk_bytes = 0
                     self.chunks[piece] = got
             if got[0]:
                 ids.append(got[0])
@@ -128,6 +164,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encoded_blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bytes, str]]]]:
     """Blocks of rows with (ids as bytes, decoded text) for each."""
     encoder = ChunkEncoder(vocabulary)
+    gc.disable()  # the tables hold many small objects and no cycles; looking for cycles would take most of the time
     for rows, data, offsets in text_blocks(batches):
         cuts, spaces, raw = chunk_cuts(data), np.flatnonzero(SPACE[data]), data.tobytes()
         texts = []
@@ -137,6 +174,7 @@ def encoded_blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterat
             texts.append(pieces_of(raw[start:end], c, s))
         encoder.learn([p for pieces in texts for p in pieces])
         yield rows, [encoder.encode(pieces) for pieces in texts]
+    gc.enable()
 
 
 def bpe_digests(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
