@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import binary, durable, mix, prefix_sums, slice_hashes, text_blocks
+from tessera.llm.textkit import binary, durable, mix, powers, prefix_sums, release, slice_hashes, text_blocks
 
 SPAN = 100
 GRAM = 32
@@ -74,13 +75,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return grams[at], segment, doc, low - offsets[doc], high - offsets[doc]
 
 
-ROW = "key long, kind int, gram long, digit long, doc long, tie int, low int, high int"
-NAMES = ["key", "kind", "gram", "digit", "doc", "tie", "low", "high"]
-TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+#: place holds low << 33 | high << 2 | kind, so that a row is short on its way through a shuffle.
+ROW = "key long, digit long, doc long, tie int, place long"
+NAMES = ["key", "digit", "doc", "tie", "place"]
 
 
-def _emit(key, kind, gram, digit, doc, tie, low, high) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c).astype(t.to_pandas_dtype(), copy=False), t) for c, t in zip((key, kind, gram, digit, doc, tie, low, high), TYPES, strict=True)], names=NAMES)
+def _emit(key, digit, doc, tie, low, high, kind) -> pa.RecordBatch:
+    place = (np.asarray(low).astype(np.uint64) << np.uint64(33)) | (np.asarray(high).astype(np.uint64) << np.uint64(2)) | np.asarray(kind).astype(np.uint64)
+    columns = [pa.array(np.asarray(c).view(np.int64), pa.int64()) for c in (key, digit, doc)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.asarray(tie).astype(np.int32)), pa.array(place.view(np.int64))], names=NAMES)
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """key, digit, doc, tie, low, high and kind of all rows of a task; none when there are no rows."""
+    parts = [[b.column(n).to_numpy() for n in NAMES] for b in batches if b.num_rows]
+    if not parts:
+        return None
+    key, digit, doc, tie, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+    place = place.view(np.uint64)
+    return key.view(np.uint64), digit.view(np.uint64), doc, tie, (place >> np.uint64(33)).astype(np.int64), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.int64), (place & np.uint64(3)).astype(np.int64)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -107,39 +120,75 @@ def _distinct_per_gram(new_gram: np.ndarray, new_digit: np.ndarray) -> np.ndarra
     return np.bincount(group, weights=new_digit)[group]
 
 
+def _salt(doc: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.uint64) * np.uint64(31) + low.astype(np.uint64))
+
+
 def fold_anchors(gram, segment, doc, tie, low, high) -> Iterator[pa.RecordBatch]:
     """What one task sends of its anchors (see the module's text)."""
     gram, segment, doc, tie, low, high = _sorted_once(gram, segment, doc, tie, low, high, keys=5)
     new_gram, new_segment = _runs(gram), _runs(gram, segment)
     crowded = _distinct_per_gram(new_gram, new_segment) >= MANY_SEGMENTS
     kind = np.where(~new_segment, FULL, np.where(crowded, PARTIAL, PLAIN))
-    place = mix(doc.astype(np.uint64) * np.uint64(31) + low.astype(np.uint64)).view(np.int64)
-    key = np.where(kind == PLAIN, gram.view(np.int64), place)
-    yield _emit(key, kind, gram.view(np.int64), segment.view(np.int64), doc, tie, low, high)
+    salt = _salt(doc, low)
+    sent = kind == PLAIN
+    yield _emit(np.where(sent, gram, salt), np.where(sent, segment, 0), doc, tie, low, high, kind)
     if (one := crowded & new_gram).any():
-        yield _emit(gram[one].view(np.int64), np.full(one.sum(), WITNESS), gram[one].view(np.int64), place[one], doc[one], tie[one], low[one], high[one])
+        yield _emit(gram[one], salt[one], doc[one], tie[one], low[one], high[one], np.full(one.sum(), WITNESS))
 
 
-def settle_anchors(gram, kind, segment, doc, tie, low, high) -> tuple[np.ndarray, ...]:
-    """Pass 2 over all rows of the grams of one task: (kind, gram, doc, tie, low, high) of what goes or is refined."""
-    sorted_kind = kind >= PLAIN
-    done = tuple(c[~sorted_kind] for c in (kind, gram, doc, tie, low, high))
-    gram, kind, segment, doc, tie, low, high = (c[sorted_kind] for c in (gram, kind, segment, doc, tie, low, high))
-    gram, segment, doc, tie, low, high, kind = _sorted_once(gram, segment, doc, tie, low, high, kind, keys=5)
+def settle_anchors(gram, segment, doc, tie, low, high, kind) -> tuple[np.ndarray, ...]:
+    """Pass 2 over all rows of the grams of one task: (doc, tie, low, high, kind) of what goes or is refined."""
+    open_rows = kind >= PLAIN
+    done = tuple(c[~open_rows] for c in (doc, tie, low, high, kind))
+    gram, segment, doc, tie, low, high, kind = _sorted_once(*(c[open_rows] for c in (gram, segment, doc, tie, low, high, kind)), keys=5)
     new_gram, new_segment = _runs(gram), _runs(gram, segment)
     several = _distinct_per_gram(new_gram, new_segment) > 1 if len(gram) else new_gram
     kind = np.where(kind == WITNESS, WITNESS, np.where(~new_segment, FULL, np.where(several, PARTIAL, PLAIN)))
     keep = kind <= PARTIAL
-    return tuple(np.concatenate([a, b[keep]]) for a, b in zip(done, (kind, gram, doc, tie, low, high), strict=True))
+    return tuple(np.concatenate([a, b[keep]]) for a, b in zip(done, (doc, tie, low, high, kind), strict=True))
+
+
+def _as_ranges(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, tie, low, high) of runs of consecutive window starts."""
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start = doc[order], tie[order], start[order]
+    first = _runs(doc, tie)
+    first[1:] |= start[1:] > start[:-1] + 1
+    at = np.flatnonzero(first)
+    ends = start[np.concatenate([at[1:], [len(start)]]).astype(np.int64) - 1] if len(start) else start
+    return doc[at], tie[at], start[at], ends
+
 
+def fold_windows(first, second, doc, tie, start) -> Iterator[pa.RecordBatch]:
+    """What one task sends of its windows: the first of equal ones, and ranges of the others, which go."""
+    first, second, doc, tie, start = _sorted_once(first, second, doc, tie, start, keys=5)
+    new = _runs(first, second)
+    yield _emit(first[new], second[new], doc[new], tie[new], start[new], start[new], np.full(new.sum(), PLAIN))
+    doc, tie, low, high = _as_ranges(doc[~new], tie[~new], start[~new])
+    if len(doc):
+        yield _emit(_salt(doc, low), np.zeros(len(doc), np.uint64), doc, tie, low, high, np.full(len(doc), FULL))
 
-def window_rows(data: np.ndarray, ranges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window hash, gram, start) of the windows in (low, high, gram) ranges of one text."""
-    low, high, gram = (np.array(c, np.int64) for c in zip(*ranges, strict=True))
+
+def settle_windows(first, second, doc, tie, low, high, kind) -> tuple[np.ndarray, ...]:
+    """Pass 4: (doc, tie, low, high) of all ranges that go."""
+    done = tuple(c[kind == FULL] for c in (doc, tie, low, high))
+    first, second, doc, tie, low = _sorted_once(*(c[kind == PLAIN] for c in (first, second, doc, tie, low)), keys=5)
+    later = ~_runs(first, second)
+    return tuple(np.concatenate([a, b]) for a, b in zip(done, _as_ranges(doc[later], tie[later], low[later]), strict=True))
+
+
+_SECOND_HIGH = np.random.default_rng(29).integers(0, 1 << 63, 256, np.uint64)
+
+
+def window_rows(data: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, second hash, start) of the windows in (low, high) ranges of one text; the second hash reads bytes through a random table."""
+    low, high = (np.array(c, np.int64) for c in zip(*ranges, strict=True))
     sizes = high - low + 1
     starts = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
-    prefix = prefix_sums(data)
-    return slice_hashes(prefix, starts, starts + SPAN), np.repeat(gram, sizes), starts
+    other = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_SECOND_HIGH[data] * powers(len(data))[0], out=other[1:])
+    return slice_hashes(prefix_sums(data), starts, starts + SPAN), slice_hashes(other, starts, starts + SPAN), starts
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -158,99 +207,84 @@ def _tied(documents: DataFrame) -> DataFrame:
     )
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows with the text compressed, for the way through a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([pack(t.as_py()) for t in binary(batch.column(at))], pa.binary()))
+
+    fields = ", ".join(f"{name} {'binary' if name == 'text' else kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(run, fields)
+
+
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """(doc, tie, low, high): ranges of window starts whose 100-byte string starts earlier elsewhere."""
-    rows = _tied(documents)
+    rows = _tied(documents).select("doc", "tie", "text")
+
+    def folded(held: list[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        yield from fold(*columns)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
         for block, data, offsets in text_blocks(batches):
             gram, segment, d, low, high = anchors(data, offsets)
             doc, tie = block.column("doc").to_numpy(), block.column("tie").to_numpy()
             held.append((gram, segment, doc[d], tie[d], low, high))
-            size += len(gram)
-            if size >= FOLD_ROWS:
-                yield from fold_anchors(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                held, size = [], 0
-        if size:
-            yield from fold_anchors(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            if sum(len(h[0]) for h in held) >= FOLD_ROWS:
+                yield from folded(held, fold_anchors)
+        if held:
+            yield from folded(held, fold_anchors)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(n).to_numpy() for n in NAMES[1:]] for b in batches]
-        if parts:
-            kind, gram, digit, doc, tie, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
-            kind, gram, doc, tie, low, high = settle_anchors(gram, kind, digit, doc, tie, low, high)
-            yield _emit(np.zeros(len(doc)), kind, gram, np.zeros(len(doc)), doc, tie, low, high)
-
-    marks = durable(rows.select("doc", "tie", "text").mapInArrow(first_pass, ROW).repartition("key").mapInArrow(second_pass, ROW).select("kind", "gram", "doc", "tie", "low", "high"))
-    full = marks.where(F.col("kind") == FULL).select("doc", "tie", "low", "high")
-    refine = marks.where(F.col("kind") == PARTIAL).groupBy("doc", "tie").agg(F.collect_set(F.struct("low", "high", "gram")).alias("ranges"))  # of one document
+        if (taken := _taken(batches)) is not None:
+            doc, tie, low, high, kind = settle_anchors(*taken)
+            yield _emit(kind, np.zeros(len(doc), np.int64), doc, tie, low, high, kind)
 
     def third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def fold() -> Iterator[pa.RecordBatch]:
-            digit, gram, doc, tie, start = (np.concatenate(c) for c in zip(*held, strict=True))
-            digit, gram, doc, tie, start = _sorted_once(digit, gram, doc, tie, start, keys=5)
-            new = _runs(digit, gram)
-            yield _emit(digit[new].view(np.int64), np.full(new.sum(), PLAIN), gram[new], digit[new].view(np.int64), doc[new], tie[new], start[new], start[new])
-            doc, tie, start = doc[~new], tie[~new], start[~new]
-            if len(doc):
-                order = np.lexsort((start, tie, doc))
-                doc, tie, start = doc[order], tie[order], start[order]
-                first = _runs(doc, tie)
-                first[1:] |= start[1:] > start[:-1] + 1
-                at = np.flatnonzero(first)
-                end = start[np.concatenate([at[1:], [len(start)]]) - 1]
-                none = np.zeros(len(at))
-                yield _emit(mix(doc[at].astype(np.uint64) + start[at].astype(np.uint64)).view(np.int64), np.full(len(at), FULL), none, none, doc[at], tie[at], start[at], end)
-
+        size, unpack = 0, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-            for doc, tie, text, ranges in zip(docs, ties, binary(batch.column("text")), batch.column("ranges"), strict=True):
-                values = ranges.values
-                digit, gram, start = window_rows(np.frombuffer(text.as_buffer(), np.uint8), list(zip(*(values.field(k).to_pylist() for k in range(3)), strict=True)))
-                held.append((digit, gram, np.full(len(start), doc), np.full(len(start), tie), start))
+            for doc, tie, text, places in zip(docs, ties, batch.column("text"), batch.column("places"), strict=True):
+                place = places.values.to_numpy().view(np.uint64)
+                ranges = list(zip((place >> np.uint64(33)).tolist(), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).tolist(), strict=True))
+                first, second, start = window_rows(np.frombuffer(unpack(text.as_py()), np.uint8), ranges)
+                held.append((first, second, np.full(len(start), doc), np.full(len(start), tie), start))
                 size += len(start)
                 if size >= FOLD_ROWS:
-                    yield from fold()
-                    held.clear()
+                    yield from folded(held, fold_windows)
                     size = 0
-        if size:
-            yield from fold()
+        if held:
+            yield from folded(held, fold_windows)
 
     def fourth_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(n).to_numpy() for n in NAMES[1:]] for b in batches]
-        if parts:
-            kind, gram, digit, doc, tie, low, high = (np.concatenate(c) for c in zip(*parts, strict=True))
-            done = tuple(c[kind == FULL] for c in (doc, tie, low, high))
-            gram, digit, doc, tie, low = (c[kind == PLAIN] for c in (gram, digit, doc, tie, low))
-            digit, gram, doc, tie, low = _sorted_once(digit, gram, doc, tie, low, keys=5)
-            later = ~_runs(digit, gram)
-            doc, tie, low = doc[later], tie[later], low[later]
-            order = np.lexsort((low, tie, doc))
-            doc, tie, low = doc[order], tie[order], low[order]
-            first = _runs(doc, tie)
-            first[1:] |= low[1:] > low[:-1] + 1
-            at = np.flatnonzero(first)
-            end = low[np.concatenate([at[1:], [len(low)]]) - 1] if len(low) else low
-            found = (np.concatenate([a, b]) for a, b in zip(done, (doc[at], tie[at], low[at], end), strict=True))
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(found, types, strict=True)], names=["doc", "tie", "low", "high"])
-
-    windows = rows.select("doc", "tie", "text").join(refine, ["doc", "tie"]).select("doc", "tie", "text", "ranges").mapInArrow(third_pass, ROW)
-    return full.unionByName(windows.repartition("key").mapInArrow(fourth_pass, "doc long, tie int, low int, high int"))
+        if (taken := _taken(batches)) is not None:
+            doc, tie, low, high = settle_windows(*taken)
+            yield _emit(np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), doc, tie, low, high, np.full(len(doc), FULL))
+
+    marks = durable(rows.mapInArrow(first_pass, ROW).repartition("key").mapInArrow(second_pass, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
+    release(documents.sparkSession)
+    refine = marks.where(F.col("kind") == PARTIAL).groupBy("doc", "tie").agg(F.collect_set("place").alias("places"))  # of one document
+    windows = _packed(rows).join(refine, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(third_pass, ROW)
+    found = durable(windows.repartition("key").mapInArrow(fourth_pass, ROW).select("doc", "tie", "place"))
+    del windows
+    release(documents.sparkSession)
+    return marks.where(F.col("kind") == FULL).select("doc", "tie", "place").unionByName(found)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(text: bytes, ranges: pa.Scalar) -> tuple[list[bytes], int, int]:
-    if ranges is None or not len(ranges):
+def _cut(text: bytes, places: pa.Array | None) -> tuple[list[bytes], int, int]:
+    if places is None or not len(places):
         return [text], 0, 0
-    low, high = (ranges.field(k).to_numpy().astype(np.int64) for k in range(2))
+    place = places.to_numpy().view(np.uint64)
+    low, high = (place >> np.uint64(33)).astype(np.int64), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
     spans = merged(np.stack([low, high + SPAN], axis=1))
     kept, last = [], 0
     for a, b in spans.tolist():
@@ -259,9 +293,15 @@ def _cut(text: bytes, ranges: pa.Scalar) -> tuple[list[bytes], int, int]:
     return [*kept, text[last:]], int((spans[:, 1] - spans[:, 0]).sum()), len(spans)
 
 
-def _with_ranges(documents: DataFrame) -> DataFrame:
-    found = repeated_ranges(documents).groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    return _tied(documents).join(found, ["doc", "tie"], "left").select("doc_id", "text", "ranges")
+def _with_places(documents: DataFrame) -> DataFrame:
+    found = repeated_ranges(documents).groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))  # of one document
+    return _packed(_tied(documents)).join(found, ["doc", "tie"], "left").select("doc_id", "text", "places")
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, pa.Array | None]]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
+        yield unpack(text.as_py()), places.values
 
 
 def removal_digests(documents: DataFrame) -> DataFrame:
@@ -270,9 +310,8 @@ def removal_digests(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(binary(batch.column("text")), batch.column("ranges"), strict=True):
-                data = text.as_py()
-                kept, removed, spans = _cut(data, ranges.values)
+            for data, places in _texts(batch):
+                kept, removed, spans = _cut(data, places)
                 digest = hashlib.sha256()
                 for part in kept:
                     digest.update(part)
@@ -280,7 +319,7 @@ def removal_digests(documents: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_ranges(documents).mapInArrow(run, SCHEMA)
+    return _with_places(documents).mapInArrow(run, SCHEMA)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -288,7 +327,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [b"".join(_cut(t.as_py(), r.values)[0]) for t, r in zip(binary(batch.column("text")), batch.column("ranges"), strict=True)]
+            kept = [b"".join(_cut(data, places)[0]) for data, places in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "kept"])
 
-    return _with_ranges(documents).mapInArrow(run, "doc_id long, kept binary")
+    return _with_places(documents).mapInArrow(run, "doc_id long, kept binary")

@@ -6,6 +6,7 @@ worker's memory depends on the block size (or on one document, if it is longer)
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -43,6 +44,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, which frees the shuffles behind tables that durable() has cut off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def digest_id(column: str = "doc_id"):
     """CRC-32 of a column's decimal text, unsigned; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
