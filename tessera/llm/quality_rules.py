@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import gram_buckets, sums_by_document, text_blocks
+from tessera.llm.textkit import gram_buckets, packed, sums_by_document, text_blocks, unpacked
 
 BITS = 16
 THRESHOLD = -0.35
@@ -55,11 +55,11 @@ def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
 def gram_counts(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Counts of each bucket over trusted documents and over all documents."""
     trusted = labels.where(F.col("quality") == 1).select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("trusted", F.lit(True))
-    rows = documents.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    rows = packed(documents.select("doc_id", "text")).join(trusted.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for block, data, offsets in text_blocks(batches):
+        for block, data, offsets in text_blocks(unpacked(batches)):
             codes, sizes = gram_buckets(data, offsets, bits)
             total += np.bincount(codes, minlength=1 << bits)
             flags = np.array(block.column("trusted").to_pylist(), bool)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import binary, durable, mix, powers, prefix_sums, release, slice_hashes, text_blocks
+from tessera.llm.textkit import binary, durable, mix, packed, powers, prefix_sums, release, slice_hashes, text_blocks
 
 SPAN = 100
 GRAM = 32
@@ -207,19 +207,6 @@ def _tied(documents: DataFrame) -> DataFrame:
     )
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """The rows with the text compressed, for the way through a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array([pack(t.as_py()) for t in binary(batch.column(at))], pa.binary()))
-
-    fields = ", ".join(f"{name} {'binary' if name == 'text' else kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(run, fields)
-
-
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """(doc, tie, low, high): ranges of window starts whose 100-byte string starts earlier elsewhere."""
     rows = _tied(documents).select("doc", "tie", "text")
@@ -270,7 +257,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     marks = durable(rows.mapInArrow(first_pass, ROW).repartition("key").mapInArrow(second_pass, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
     release(documents.sparkSession)
     refine = marks.where(F.col("kind") == PARTIAL).groupBy("doc", "tie").agg(F.collect_set("place").alias("places"))  # of one document
-    windows = _packed(rows).join(refine, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(third_pass, ROW)
+    windows = packed(rows).join(refine, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(third_pass, ROW)
     found = durable(windows.repartition("key").mapInArrow(fourth_pass, ROW).select("doc", "tie", "place"))
     del windows
     release(documents.sparkSession)
@@ -295,7 +282,7 @@ def _cut(text: bytes, places: pa.Array | None) -> tuple[list[bytes], int, int]:
 
 def _with_places(documents: DataFrame) -> DataFrame:
     found = repeated_ranges(documents).groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))  # of one document
-    return _packed(_tied(documents)).join(found, ["doc", "tie"], "left").select("doc_id", "text", "places")
+    return packed(_tied(documents)).join(found, ["doc", "tie"], "left").select("doc_id", "text", "places")
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, pa.Array | None]]:

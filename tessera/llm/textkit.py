@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,3 +148,24 @@ def sums_by_document(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     np.cumsum(values, out=total[1:])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """The rows with the text compressed (null as empty), for the way through a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([pack(t.as_py()) for t in binary(batch.column(at))], pa.binary()))
+
+    fields = ", ".join(f"{name} {'binary' if name == 'text' else kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(run, fields)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of packed() rows with their texts as bytes again."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array([unpack(t.as_py()) for t in batch.column(at)], pa.large_binary()))
