@@ -1,17 +1,19 @@
 """Operator 5: removal of repeated 100-byte strings by a depth-limited, sparse suffix sort.
 
 Suffixes are ordered only as far as the threshold, digit by digit, and a suffix leaves as soon as nothing shares its
-digits so far. Three passes go from the most significant digit down:
+digits so far. The passes go from the most significant digit down:
 
 1. The first digit is a 32-byte gram. Of the 69 grams of a window only that with the least hash is used (the leftmost of
    equals): a choice by content, so equal windows choose alike, and about one place in 35 is sorted instead of all.
 2. The second digit is the segment around the gram that covers all windows which chose it. Equal segments settle all their
-   windows at once: the first stays, the others go.
-3. Segments that differ around a shared gram are refined to their single windows; equal windows are the repeated ones.
+   windows at once: the first stays, the others go. A gram with a single segment is done: its windows are found nowhere else.
+3. Windows of segments that differ around a shared gram go through 1 and 2 again with grams of 84 bytes. Nearly all windows
+   are done then; what stays lies within a few bytes of the place where two texts part.
+4. The rest is refined to single windows; equal windows are the repeated ones.
 
 Before each shuffle a task folds what it has read: only the first of equal rows travels for others, later ones are already
-decided; grams with many segments in one task skip the sort of pass 2 and are refined under salted keys. So no
-passage, however frequent, meets in one task. Digits are compared as hashes (128 bits in the last pass).
+decided; grams with many segments in one task skip the sort of their segments and are refined under salted keys. So no
+passage, however frequent, meets in one task. Digits are compared as hashes (gram and segment, or both hashes of a window, are 128 bits).
 
 A document is (doc_id, text): rows equal in both are one document and get equal results; a null doc_id comes before all others;
 rows with one id and different texts are ordered by a hash of the text. Null texts count as empty; texts of under 100 bytes
@@ -29,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import binary, durable, mix, packed, powers, prefix_sums, release, slice_hashes, text_blocks
+from tessera.llm.textkit import BLOCK_BYTES, durable, mix, packed, powers, prefix_sums, release, slice_hashes, text_blocks
 
 SPAN = 100
 GRAM = 32
-REACH = SPAN - GRAM + 1
+LONG_GRAM = 84
 MANY_SEGMENTS = 64
 FOLD_ROWS = 1 << 20
 
@@ -52,23 +54,23 @@ def _least_positions(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Gram hash, segment hash, document index, first and last window start of each chosen gram of a block."""
+def all_windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (in the block) and document index of all windows of a block."""
+    windows = np.maximum(np.diff(offsets) - SPAN + 1, 0)
+    doc = np.repeat(np.arange(len(windows)), windows)
+    return np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[:-1][doc], doc
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Gram hash, segment hash, document index, first and last window start of each gram of `width` bytes that the windows at `starts` choose."""
     empty = np.zeros(0, np.int64)
-    if len(data) < SPAN:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    prefix = prefix_sums(data)
-    places = np.arange(len(data) - GRAM + 1)
-    grams = slice_hashes(prefix, places, places + GRAM)
-    chosen = _least_positions(grams, REACH)
-    lengths = np.diff(offsets)
-    windows = np.maximum(lengths - SPAN + 1, 0)
-    doc = np.repeat(np.arange(len(lengths)), windows)
-    starts = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[:-1][doc]
     if not len(starts):
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    at = chosen[starts]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    prefix = prefix_sums(data)
+    places = np.arange(len(data) - width + 1)
+    grams = slice_hashes(prefix, places, places + width)
+    at = _least_positions(grams, SPAN - width + 1)[starts]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     low, high, at, doc = starts[first], starts[last], at[first], doc[first]
     segment = slice_hashes(prefix, low, high + SPAN) + mix((at - low).astype(np.uint64))
@@ -138,7 +140,7 @@ def fold_anchors(gram, segment, doc, tie, low, high) -> Iterator[pa.RecordBatch]
 
 
 def settle_anchors(gram, segment, doc, tie, low, high, kind) -> tuple[np.ndarray, ...]:
-    """Pass 2 over all rows of the grams of one task: (doc, tie, low, high, kind) of what goes or is refined."""
+    """Sorts all rows of the grams of one task: (doc, tie, low, high, kind) of what goes or is refined."""
     open_rows = kind >= PLAIN
     done = tuple(c[~open_rows] for c in (doc, tie, low, high, kind))
     gram, segment, doc, tie, low, high, kind = _sorted_once(*(c[open_rows] for c in (gram, segment, doc, tie, low, high, kind)), keys=5)
@@ -171,7 +173,7 @@ def fold_windows(first, second, doc, tie, start) -> Iterator[pa.RecordBatch]:
 
 
 def settle_windows(first, second, doc, tie, low, high, kind) -> tuple[np.ndarray, ...]:
-    """Pass 4: (doc, tie, low, high) of all ranges that go."""
+    """(doc, tie, low, high) of all ranges that go, from all rows of the windows of one task."""
     done = tuple(c[kind == FULL] for c in (doc, tie, low, high))
     first, second, doc, tie, low = _sorted_once(*(c[kind == PLAIN] for c in (first, second, doc, tie, low)), keys=5)
     later = ~_runs(first, second)
@@ -181,14 +183,49 @@ def settle_windows(first, second, doc, tie, low, high, kind) -> tuple[np.ndarray
 _SECOND_HIGH = np.random.default_rng(29).integers(0, 1 << 63, 256, np.uint64)
 
 
-def window_rows(data: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, second hash, start) of the windows in (low, high) ranges of one text; the second hash reads bytes through a random table."""
-    low, high = (np.array(c, np.int64) for c in zip(*ranges, strict=True))
-    sizes = high - low + 1
-    starts = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+def window_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the window at each start; the second reads bytes through a random table."""
     other = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_SECOND_HIGH[data] * powers(len(data))[0], out=other[1:])
-    return slice_hashes(prefix_sums(data), starts, starts + SPAN), slice_hashes(other, starts, starts + SPAN), starts
+    return slice_hashes(prefix_sums(data), starts, starts + SPAN), slice_hashes(other, starts, starts + SPAN)
+
+
+def _unpacked_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low and high of the place column."""
+    place = place.view(np.uint64)
+    return (place >> np.uint64(33)).astype(np.int64), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+
+
+def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of packed texts with their open ranges: doc and tie by document, bytes, offsets, and starts and document index of the open windows."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids, texts, ranges, size = [], [], [], 0
+
+    def block() -> tuple[np.ndarray, ...]:
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        index = np.repeat(np.arange(len(ranges)), [len(r) for r in ranges])
+        low, high = _unpacked_place(np.concatenate(ranges))
+        order = np.lexsort((low, index))
+        index, low, sizes = index[order], low[order], (high - low + 1)[order]
+        starts = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low + offsets[index], sizes)
+        doc, tie = (np.array(c, np.int64) for c in zip(*ids, strict=True))
+        made = doc, tie, np.frombuffer(b"".join(texts), np.uint8), offsets, starts, np.repeat(index, sizes)
+        for held in (ids, texts, ranges):
+            held.clear()
+        return made
+
+    for batch in batches:
+        for doc, tie, text, places in zip(*(batch.column(n) for n in ("doc", "tie", "text", "places")), strict=True):
+            data = unpack(text.as_py())
+            if texts and size + len(data) > BLOCK_BYTES:
+                yield block()
+                size = 0
+            ids.append((doc.as_py(), tie.as_py()))
+            texts.append(data)
+            ranges.append(places.values.to_numpy())
+            size += len(data)
+    if texts:
+        yield block()
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -211,57 +248,56 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     """(doc, tie, low, high): ranges of window starts whose 100-byte string starts earlier elsewhere."""
     rows = _tied(documents).select("doc", "tie", "text")
 
-    def folded(held: list[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        held.clear()
-        yield from fold(*columns)
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def folded(parts: Iterator[tuple[np.ndarray, ...]], fold) -> Iterator[pa.RecordBatch]:
+        """Folds the rows of a task in lots of about FOLD_ROWS."""
         held: list[tuple[np.ndarray, ...]] = []
-        for block, data, offsets in text_blocks(batches):
-            gram, segment, d, low, high = anchors(data, offsets)
-            doc, tie = block.column("doc").to_numpy(), block.column("tie").to_numpy()
-            held.append((gram, segment, doc[d], tie[d], low, high))
+        for part in parts:
+            held.append(part)
             if sum(len(h[0]) for h in held) >= FOLD_ROWS:
-                yield from folded(held, fold_anchors)
+                yield from fold(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
         if held:
-            yield from folded(held, fold_anchors)
+            yield from fold(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def of_block(doc, tie, data, offsets, starts, index, width) -> tuple[np.ndarray, ...]:
+        gram, segment, d, low, high = anchors(data, offsets, starts, index, width)
+        return gram, segment, doc[d], tie[d], low, high
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (of_block(b.column("doc").to_numpy(), b.column("tie").to_numpy(), data, offsets, *all_windows(offsets), GRAM) for b, data, offsets in text_blocks(batches))
+        yield from folded(parts, fold_anchors)
+
+    def spread_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from folded((of_block(*block, LONG_GRAM) for block in _open_blocks(batches)), fold_anchors)
 
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (taken := _taken(batches)) is not None:
             doc, tie, low, high, kind = settle_anchors(*taken)
             yield _emit(kind, np.zeros(len(doc), np.int64), doc, tie, low, high, kind)
 
-    def third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size, unpack = 0, zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            docs, ties = batch.column("doc").to_numpy(), batch.column("tie").to_numpy()
-            for doc, tie, text, places in zip(docs, ties, batch.column("text"), batch.column("places"), strict=True):
-                place = places.values.to_numpy().view(np.uint64)
-                ranges = list(zip((place >> np.uint64(33)).tolist(), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).tolist(), strict=True))
-                first, second, start = window_rows(np.frombuffer(unpack(text.as_py()), np.uint8), ranges)
-                held.append((first, second, np.full(len(start), doc), np.full(len(start), tie), start))
-                size += len(start)
-                if size >= FOLD_ROWS:
-                    yield from folded(held, fold_windows)
-                    size = 0
-        if held:
-            yield from folded(held, fold_windows)
+    def spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((*window_hashes(data, starts), doc[index], tie[index], starts - offsets[index]) for doc, tie, data, offsets, starts, index in _open_blocks(batches))
+        yield from folded(parts, fold_windows)
 
-    def fourth_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def last_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (taken := _taken(batches)) is not None:
             doc, tie, low, high = settle_windows(*taken)
-            yield _emit(np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), doc, tie, low, high, np.full(len(doc), FULL))
+            yield _emit(np.full(len(doc), FULL), np.zeros(len(doc), np.int64), doc, tie, low, high, np.full(len(doc), FULL))
+
+    def settled(sent: DataFrame, settle_with) -> DataFrame:
+        made = durable(sent.repartition("key").mapInArrow(settle_with, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
+        release(documents.sparkSession)
+        return made
+
+    def still_open(marks: DataFrame) -> DataFrame:
+        places = marks.where(F.col("kind") == PARTIAL).groupBy("doc", "tie").agg(F.collect_set("place").alias("places"))  # of one document
+        return packed(rows).join(places, ["doc", "tie"]).select("doc", "tie", "text", "places")
 
-    marks = durable(rows.mapInArrow(first_pass, ROW).repartition("key").mapInArrow(second_pass, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
-    release(documents.sparkSession)
-    refine = marks.where(F.col("kind") == PARTIAL).groupBy("doc", "tie").agg(F.collect_set("place").alias("places"))  # of one document
-    windows = packed(rows).join(refine, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(third_pass, ROW)
-    found = durable(windows.repartition("key").mapInArrow(fourth_pass, ROW).select("doc", "tie", "place"))
-    del windows
-    release(documents.sparkSession)
-    return marks.where(F.col("kind") == FULL).select("doc", "tie", "place").unionByName(found)
+    marks = settled(rows.mapInArrow(spread, ROW), settle)
+    closer = settled(still_open(marks).mapInArrow(spread_open, ROW), settle)
+    found = settled(still_open(closer).mapInArrow(spread_windows, ROW), last_settle)
+    gone = [m.where(F.col("kind") == FULL).select("doc", "tie", "place") for m in (marks, closer, found)]
+    return gone[0].unionByName(gone[1]).unionByName(gone[2])
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -270,8 +306,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _cut(text: bytes, places: pa.Array | None) -> tuple[list[bytes], int, int]:
     if places is None or not len(places):
         return [text], 0, 0
-    place = places.to_numpy().view(np.uint64)
-    low, high = (place >> np.uint64(33)).astype(np.int64), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+    low, high = _unpacked_place(places.to_numpy())
     spans = merged(np.stack([low, high + SPAN], axis=1))
     kept, last = [], 0
     for a, b in spans.tolist():
