@@ -116,6 +116,11 @@ SQL: dict[str, tuple[str, str, str | None]] = {
         f"SELECT k, w, k IS NULL AS n1, k IS NOT NULL AS n2, (k = 1 OR NULL) AS n3, (k = 1 AND NULL) AS n4, k IN (1, NULL) AS n5, k NOT IN (2, 3) AS n6 FROM {_A}",
         None,
     ),
+    "cast_types": (
+        "part",
+        "SELECT p_partkey, CAST(p_retailprice AS INT) AS i, CAST(2.5 AS BIGINT) AS d, CAST(p_size AS VARCHAR) AS s, CAST(p_size AS REAL) AS r, CAST(p_size AS BIGINT) AS b, CAST('1995-03-04' AS DATE) AS dt FROM part",
+        None,
+    ),
     # Joins.
     "join_inner": ("", f"SELECT a.k, w, v FROM {_A} JOIN {_B} ON a.k = b.k", None),
     "join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 GROUP BY c_custkey", None),
@@ -192,11 +197,16 @@ SQL: dict[str, tuple[str, str, str | None]] = {
         "SELECT event_id, round(percentile(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS m FROM events",
         "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS m FROM events",
     ),
+    "win_median": ("events", "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS m, round(median(value) OVER (PARTITION BY event_type), 6) AS t FROM events", None),
+    "win_named": ("events", "SELECT event_id, sum(event_id) OVER w AS s, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)", "SELECT event_id, CAST(sum(event_id) OVER w AS BIGINT) AS s, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"),
+    "win_nulls_default": ("", f"SELECT k, w, row_number() OVER (ORDER BY w DESC) AS r, sum(w) OVER (ORDER BY w) AS s FROM {_A}", f"SELECT k, w, row_number() OVER (ORDER BY w DESC NULLS LAST) AS r, CAST(sum(w) OVER (ORDER BY w NULLS LAST) AS BIGINT) AS s FROM {_A}"),
     "win_null_keys": ("", f"SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY w NULLS LAST) AS r FROM {_A}", None),
     "win_expression": ("orders", "SELECT o_orderkey, o_orderkey - min(o_orderkey) OVER (PARTITION BY o_custkey % 10) AS d, sum(o_custkey) OVER (PARTITION BY year(o_orderdate)) AS t FROM orders", "SELECT o_orderkey, o_orderkey - min(o_orderkey) OVER (PARTITION BY o_custkey % 10) AS d, CAST(sum(o_custkey) OVER (PARTITION BY year(o_orderdate)) AS BIGINT) AS t FROM orders"),
     "win_over_aggregate": ("orders", "SELECT o_orderpriority, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY o_orderpriority", None),
     # Order, limit, set operations.
     "order_nulls_last": ("", f"SELECT k, w FROM {_A} ORDER BY k DESC NULLS LAST LIMIT 3", None),
+    "order_nulls_default": ("", f"SELECT k, w FROM {_A} ORDER BY k DESC LIMIT 4", f"SELECT k, w FROM {_A} ORDER BY k DESC NULLS LAST LIMIT 4"),
+    "offset_only": ("nation", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey OFFSET 20", None),
     "order_expr": ("part", "SELECT p_partkey FROM part ORDER BY p_size % 10 DESC, p_retailprice * -1, p_partkey LIMIT 20", None),
     "limit_offset": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 3", None),
     "union_all": ("supplier customer", "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer", None),
@@ -213,6 +223,7 @@ SQL: dict[str, tuple[str, str, str | None]] = {
         f"SELECT k, trim(s) AS t, ltrim(s) AS l, rtrim(s) AS r, trim(LEADING 'x' FROM s) AS tl, trim(BOTH 'x' FROM s) AS tb, lpad(s, 6, '*') AS lp, rpad(s, 2, '-') AS rp FROM {_S}",
         f"SELECT k, trim(s) AS t, ltrim(s) AS l, rtrim(s) AS r, ltrim(s, 'x') AS tl, trim(s, 'x') AS tb, lpad(s, 6, '*') AS lp, rpad(s, 2, '-') AS rp FROM {_S}",
     ),
+    "str_trim_chars": ("", f"SELECT k, trim(s, 'x') AS b, ltrim(s, 'x ') AS l, rtrim(s, 'jx') AS r FROM {_S}", None),
     "str_concat": ("", f"SELECT k, concat(s, '-', CAST(k AS STRING)) AS c, s || '!' AS p, concat_ws('/', s, CAST(k AS STRING), s) AS w FROM {_S}", f"SELECT k, concat(s, '-', CAST(k AS VARCHAR)) AS c, s || '!' AS p, concat_ws('/', s, CAST(k AS VARCHAR), s) AS w FROM {_S}"),
     "str_position": ("", f"SELECT k, CAST(position('b' IN s) AS BIGINT) AS p, CAST(strpos(s, 'x') AS BIGINT) AS q FROM {_S}", None),
     "str_regex": ("part", "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '#') AS r, regexp_matches(p_type, 'A.*E') AS m FROM part", None),
