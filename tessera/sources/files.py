@@ -19,14 +19,18 @@ class Files:
     def publish(self, name: str, text: str) -> None:
         """Writes beside the target and renames, which is the point of commitment; an existing target is replaced."""
         draft = self._path(f"{name}.draft")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        self.write(f"{name}.draft", text.encode())
         if self._fs.exists(self._path(name)):
             self._fs.delete(self._path(name), False)
         if not self._fs.rename(draft, self._path(name)):
             raise OSError(f"{name} could not be published")
 
+    def write(self, name: str, data: bytes) -> None:
+        """Writes one file."""
+        out = self._fs.create(self._path(name), True)
+        out.write(bytearray(data))
+        out.close()
+
     def read(self, name: str) -> str:
         source = self._fs.open(self._path(name))
         try:

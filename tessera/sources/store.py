@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,7 +141,7 @@ class _Tables:
 
     def delete(self, name: str, condition: str | None = None) -> int:
         """Deletes the rows for which the condition is true."""
-        pk, rows = self._keyed(name), self.read(name)
+        pk, rows = self._keyed(name), self.read(name).alias(name)
         path = self._write((rows.where(condition) if condition else rows).select(*pk))
         if n := self.spark.read.parquet(path).count():
             self._commit([Change(name, self._next(), keys=path)])
@@ -149,7 +149,7 @@ class _Tables:
 
     def update(self, name: str, values: dict[str, str], condition: str | None = None) -> int:
         """Sets columns to expressions over the old row."""
-        pk, rows, schema = self._keyed(name), self.read(name), self.schema(name)
+        pk, rows, schema = self._keyed(name), self.read(name).alias(name), self.schema(name)
         hit = rows.where(condition) if condition else rows
         keys = self._write(hit.select(*pk))
         path, stored = self._stored(name, hit.select(*[F.expr(values[f.name]).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in schema]))
@@ -168,19 +168,21 @@ class _Tables:
         matched_if: str = "true",
         not_matched_insert: dict[str, str] | None = None,
         not_matched_if: str = "true",
+        target: str = "t",
+        origin: str = "s",
     ) -> int:
-        """MERGE with the target as t and the source as s; one matched and one unmatched arm. Returns the rows affected."""
+        """MERGE with aliases for the target and the source; one matched and one unmatched arm. Returns the rows affected."""
         pk, rows, schema = self._keyed(name), self.read(name), self.schema(name)
-        t, s = rows.alias("t"), source.alias("s")
+        t, s = rows.alias(target), source.alias(origin)
         hit = t.join(s, F.expr(on), "inner").where(matched_if)
-        touched = hit.select(*[F.col(f"t.{k}").alias(k) for k in pk])
+        touched = hit.select(*[F.col(f"{target}.{k}").alias(k) for k in pk])
         keys = self._write(touched if matched_update or matched_delete else touched.limit(0))
         gone = self.spark.read.schema(T.StructType([schema[k] for k in pk])).parquet(keys)
         if gone.groupBy(*pk).count().where("count > 1").limit(1).count():
             raise ConstraintError("a target row matches several source rows")
         new = None
         if matched_update:
-            new = hit.select(*[(F.expr(matched_update[f.name]) if f.name in matched_update else F.col(f"t.{f.name}")).cast(f.dataType).alias(f.name) for f in schema])
+            new = hit.select(*[(F.expr(matched_update[f.name]) if f.name in matched_update else F.col(f"{target}.{f.name}")).cast(f.dataType).alias(f.name) for f in schema])
         if not_matched_insert:
             fresh = s.join(t, F.expr(on), "left_anti").where(not_matched_if)
             fresh = fresh.select(*[F.expr(not_matched_insert.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in schema])
@@ -314,10 +316,20 @@ class Store(_Tables):
     @contextmanager
     def transaction(self) -> Iterator[Transaction]:
         """Writes that are seen inside at once and published together, or not at all on an error."""
-        txn = Transaction(self)
+        txn = self.begin()
         yield txn
+        self.publish(txn)
+
+    def begin(self) -> Transaction:
+        """A transaction over what is visible now."""
+        return Transaction(self)
+
+    def publish(self, txn: Transaction) -> None:
+        """Commits a transaction's changes as one; they come after all that was committed meanwhile. Keys are checked against the
+        rows that the transaction saw, so of two writers of one key the last wins."""
         if txn.pending:
-            self._commit(txn.pending)
+            first = self._next()
+            self._commit([replace(c, number=first + i) for i, c in enumerate(txn.pending)])
 
 
 class Transaction(_Tables):
@@ -325,7 +337,7 @@ class Transaction(_Tables):
 
     def __init__(self, store: Store):
         self.spark, self.root, self.store = store.spark, store.root, store
-        self.seen = store._changes()
+        self.seen, self.start = store._changes(), store.tip()
         self.pending: list[Change] = []
 
     def _meta(self, name: str) -> dict:
@@ -335,7 +347,7 @@ class Transaction(_Tables):
         return [*self.seen, *self.pending]
 
     def _next(self) -> int:
-        return self.store.tip() + len(self.pending) + 1
+        return self.start + len(self.pending) + 1
 
     def _commit(self, changes: list[Change]) -> None:
         self.pending += changes
