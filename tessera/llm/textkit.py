@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Asks the driver to collect its garbage, which frees the shuffles behind tables that durable() has cut off."""
+    """Asks the driver to collect its garbage, which frees the shuffles behind tables that durable() has cut off.
+
+    Spark's listeners hold the last query until they have handled its end, hence the pause.
+    """
     gc.collect()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
 
 
