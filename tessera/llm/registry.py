@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontamination, langid, quality_rules, repeated_spans, secrets, sharding, simhash, toxicity, weak_quality
+from tessera.llm import bpe, decontamination, langid, oracles, quality_rules, repeated_spans, secrets, sharding, simhash, toxicity, weak_quality
 from tessera.llm.textkit import documents
 
 SHARDS = 40
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
