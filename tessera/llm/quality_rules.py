@@ -77,10 +77,10 @@ def gram_counts(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> tu
 def ratio_weights(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Smoothed log p(trusted) - log p(raw) of each bucket; all zero without trusted grams."""
     if not good.sum():
-        return np.zeros(len(raw), np.float32)
+        return np.zeros(len(raw))
     prior = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
     trusted = (good + len(raw) * 0.05 * prior) / (good.sum() + len(raw) * 0.05)
-    return np.log(trusted / prior).astype(np.float32)
+    return np.log(trusted / prior)
 
 
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
@@ -90,7 +90,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def apply_rules(documents: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """Base counts, the ratio and the verdict of each document."""
     bits = int(np.log2(len(weights)))
-    sent = documents.sparkSession.sparkContext.broadcast(weights)  # 2**bits floats, whatever the corpus
+    sent = documents.sparkSession.sparkContext.broadcast(weights)  # 2**bits numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, langid, oracles, quality_rules, repeated_spans, secrets, sharding, simhash, toxicity, weak_quality
 from tessera.llm.textkit import documents
@@ -33,7 +34,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdicts = quality_rules.quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return verdicts.withColumn("llr", F.round("llr", 6))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
