@@ -10,11 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import dialect, write_queries
+from tessera.plans import dialect, questions, write_queries
 from tessera.session import register
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Tables that questions are asked about.
+_ASKED = {"orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"], "events": ["event_id", "ts", "event_type"]}
+
 # Inline rows shared by queries about NULLs, which no generated table has.
 _A = "(VALUES (1,10),(2,20),(3,30),(4,40),(CAST(NULL AS INT),50)) AS a(k, w)"
 _B = "(VALUES (2,200),(3,300),(5,500),(CAST(NULL AS INT),600)) AS b(k, v)"
@@ -247,6 +250,9 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     "strftime": ("", f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts, '%b %a %j %y') AS b FROM {_D}", None),
     # Dialect.
     "qualify_topn": ("orders", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2", None),
+    "ask_count": ("events", questions.to_sql("how many events per event type", _ASKED), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
+    "ask_highest": ("orders", questions.to_sql("highest totalprice of orders per orderpriority", _ASKED), "SELECT o_orderpriority, max(o_totalprice) AS max_o_totalprice FROM orders GROUP BY o_orderpriority"),
+    "ask_top": ("orders", questions.to_sql("top 5 orders by orderkey", _ASKED), "SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 5"),
     "qualify_alias": ("events", "SELECT user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type = 'purchase' QUALIFY r = 1", None),
 }
 
