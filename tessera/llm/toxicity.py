@@ -264,11 +264,17 @@ def learn_marks(rows: list[tuple[bytes, int]], prior: float, model: np.ndarray)
         if len(rows_with) >= max(2 * LEAST_SUPPORT, COMMON * size[1]) or open_rows[rows_with].sum() >= max(LEAST_SUPPORT, 0.01 * size[1]):
             kept.append(h)
             open_rows[rows_with] = False
-    kept = kept[:MOST_MARKS]
-    chance = []
-    for h in kept:
+    def likely(h: int) -> float:
         toxic, clean = prior * counts[1][h] / size[1], (1 - prior) * (counts[0][h] + 0.5) / size[0]
-        chance.append(toxic / (toxic + clean))
+        return toxic / (toxic + clean)
+
+    # A mark that clean rows have too goes when surer marks find all its toxic rows (a short beginning beside the whole word).
+    surest = np.zeros(len(toxic_features))
+    for h in kept:
+        of_h = has[place[h]]
+        surest[of_h] = np.maximum(surest[of_h], likely(h))
+    kept = [h for h in kept if not counts[0][h] or (surest[has[place[h]]] <= likely(h)).any()][:MOST_MARKS]
+    chance = [likely(h) for h in kept]
     kept_set = set(kept)
     unmarked = [0, 0]
     for text, toxic in dict(rows).items():
