@@ -61,6 +61,18 @@ def digest_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def text_tie():
+    """Hash of the text (null as empty); with doc_id it tells rows apart where ids are null or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def matching_rows(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose doc_id and text hash are among `keys` (doc_id, tie), or are not (left_anti)."""
+    tie = F.xxhash64(F.coalesce(rows["text"], F.lit("")))
+    keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("tie").alias("_key_tie"))
+    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_key_id"]) & (tie == keys["_key_tie"]), how)
+
+
 def binary(column: pa.Array) -> pa.Array:
     """UTF-8 bytes of a string column with nulls as empty values and 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):
