@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.textkit import binary, durable
+from tessera.llm.textkit import binary, durable, matching_rows, text_tie
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -53,15 +53,17 @@ def fingerprint(data: bytes, size: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a long."""
+def fingerprints(documents: DataFrame, size: int = SHINGLE_WORDS, ties: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint's bits as a long; with `ties` also tie, the hash of the text."""
+    more = ["tie"] if ties else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size) for t in binary(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64()), *map(batch.column, more)], names=["doc_id", "fp", *more])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    picked = documents.select("doc_id", "text", text_tie().alias("tie")) if ties else documents.select("doc_id", "text")
+    return picked.mapInArrow(run, "doc_id long, fp long" + ", tie long" * ties)
 
 
 def ball_masks(radius: int) -> list[tuple[int, int]]:
@@ -126,6 +128,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return variants.repartition("key").mapInArrow(run, "u long, v long")
 
 
+def _components(marked: DataFrame, radius: int) -> DataFrame:
+    """fp and component of the fingerprints of `marked`."""
+    distinct = marked.select("fp").distinct()
+    groups = connected_components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp")
+    return distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every document."""
     marked = durable(fingerprints(documents, size))
@@ -143,12 +152,11 @@ def simhash_digests(documents: DataFrame) -> DataFrame:
 
 
 def keep_first_copies(documents: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Columns are those that came.
+    """One row of each group of near duplicates: that with the smallest doc_id (null last), then text hash. Columns as they came.
 
-    Rows with one id and one text keep one row; rows with one id and different texts are different documents. Rows with
-    a null doc_id stay where some group has no other id.
+    Rows are told apart by doc_id and text, so null and repeated ids are no special case.
     """
-    marked = near_duplicates(documents)
-    keep = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    first = documents.join(keep, documents["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"])
+    marked = durable(fingerprints(documents, ties=True))
+    named = marked.join(_components(marked, RADIUS), "fp")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
+    return matching_rows(documents, first.select("first.doc_id", "first.tie").distinct()).dropDuplicates(["doc_id", "text"])

@@ -62,13 +62,13 @@ def digest_id(column: str = "doc_id"):
 
 
 def text_tie():
-    """Hash of the text (null as empty); with doc_id it tells rows apart where ids are null or repeated."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    """Hash of the text (null is not empty); with doc_id it tells rows apart where ids are null or repeated."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
 
 
 def matching_rows(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows whose doc_id and text hash are among `keys` (doc_id, tie), or are not (left_anti)."""
-    tie = F.xxhash64(F.coalesce(rows["text"], F.lit("")))
+    tie = F.xxhash64(rows["text"], rows["text"].isNull())
     keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("tie").alias("_key_tie"))
     return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_key_id"]) & (tie == keys["_key_tie"]), how)
 
