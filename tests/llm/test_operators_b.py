@@ -131,6 +131,20 @@ def test_lcs():
         assert decontamination.lcs_length(a, b) == table[-1][-1]
 
 
+def test_lcs_of_many_passages():
+    rng = random.Random(8)
+    items = [[rng.randrange(9) for _ in range(n)] for n in (1, 8, 33, 63, 64)]
+    text = np.array([rng.randrange(12) for _ in range(700)])
+    masks = np.zeros((len(items), 13), np.uint64)
+    for k, item in enumerate(items):
+        for i, w in enumerate(item):
+            masks[k, w] |= np.uint64(1 << i)
+    runs = [(rng.randrange(len(items)), *sorted(rng.sample(range(701), 2))) for _ in range(300)]
+    item, left, right = np.array(runs).T
+    got = decontamination.batched_lcs(masks, text, item, np.array([len(x) for x in items]), left, right)
+    assert got.tolist() == [decontamination.lcs_length(items[k], text[a:b].tolist()) for k, a, b in runs]
+
+
 def test_toxicity(spark, odd, labels):
     sf = "/root/testdata/sf0.1"
     df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
