@@ -37,7 +37,7 @@ def unquoted(arg: str) -> str:
     arg = arg.strip()
     if not re.fullmatch(r"'(?:[^']|'')*'", arg):
         raise ValueError(f"a quoted text is needed, not {arg}")
-    return arg[1:-1].replace("''", "'")
+    return arg[1:-1].replace("''", "'").replace("$\\{", "${").replace("\\\\", "\\")
 
 
 def quoted(text: str) -> str:
@@ -52,10 +52,39 @@ def _log(a: list[str]) -> str:
     return f"log10({a[0]})" if len(a) == 1 else f"log({a[0]}, {a[1]})"
 
 
-def _first_replace(a: list[str]) -> str:
-    s, p, r = a[:3]
-    at, hit = f"regexp_instr({s}, {p})", f"regexp_substr({s}, {p})"
-    return f"(CASE WHEN {at} > 0 THEN concat(substr({s}, 1, {at} - 1), regexp_replace({hit}, {p}, {r}), substr({s}, {at} + length({hit}))) ELSE {s} END)"
+# Option letters of regular expressions and the flags they stand for; g is taken by regexp_replace alone.
+_OPTIONS = {"i": "i", "c": "", "s": "s", "m": "m", "n": "m", "p": "m", "l": ""}
+
+
+def _pattern(pattern: str, options: str | None, more: str = "") -> tuple[str, set[str]]:
+    """A pattern's text with its options as inline flags, and the options that are no flags."""
+    given = set(unquoted(options)) if options else set()
+    if unknown := given - set(_OPTIONS) - set(more):
+        raise ValueError(f"regular expressions have no option {sorted(unknown)[0]!r}")
+    flags = "".join(sorted({_OPTIONS[o] for o in given & set(_OPTIONS)}))
+    return (f"concat({quoted(f'(?{flags})')}, {pattern})" if flags else pattern), given
+
+
+def _replace(a: list[str]) -> str:
+    """The first match replaced, or with option g each; \\1 and so on in the replacement are groups, $ is itself.
+
+    What follows the first match is taken along to the end and put back, so nothing is left to match again; (?!\\G) keeps an empty
+    match from being found a second time at the end.
+    """
+    if not 3 <= len(a) <= 4:
+        raise ValueError("regexp_replace takes three or four arguments")
+    pattern, given = _pattern(a[1], a[3] if len(a) == 4 else None, "g")
+    replacement = f"regexp_replace(replace({a[2]}, '$', {quoted(chr(92) + '$')}), {quoted(chr(92) * 2 + '([0-9])')}, {quoted(chr(92) + '$$1')})"
+    if "g" in given:
+        return f"regexp_replace({a[0]}, {pattern}, {replacement})"
+    head, tail = quoted(r"(?:\A|(?!\G))(?:"), quoted(r")(?<afterwards>(?s:.*))\z")
+    return f"regexp_replace({a[0]}, concat({head}, {pattern}, {tail}), concat({replacement}, '$', '{{afterwards}}'))"
+
+
+def _matches(a: list[str]) -> str:
+    if not 2 <= len(a) <= 3:
+        raise ValueError("regexp_matches takes two or three arguments")
+    return f"regexp_like({a[0]}, {_pattern(a[1], a[2] if len(a) == 3 else None)[0]})"
 
 
 def _trunc(a: list[str]) -> str:
@@ -77,7 +106,7 @@ def _datediff(a: list[str]) -> str:
 
 
 def _initcap(a: list[str]) -> str:
-    parts = f"regexp_extract_all({a[0]}, '([A-Za-z]+|[^A-Za-z]+)', 1)"
+    parts = f"regexp_extract_all({a[0]}, {quoted('(' + chr(92) + 'p{L}+|' + chr(92) + 'P{L}+)')}, 1)"
     return f"array_join(transform({parts}, x -> initcap(x)), '')"
 
 
@@ -116,7 +145,7 @@ def cast(operand: str, target: str) -> str:
 FUNCTIONS: dict[str, Callable[[list[str]], str]] = {
     "log": _log,
     "concat": _concat,
-    "regexp_replace": _first_replace,
+    "regexp_replace": _replace,
     "trunc": _trunc,
     "split_part": _split_part,
     "datediff": _datediff,
@@ -131,7 +160,7 @@ FUNCTIONS: dict[str, Callable[[list[str]], str]] = {
     "floor": lambda a: f"CAST(floor({a[0]}) AS DOUBLE)",
     "sign": lambda a: f"CAST(sign({a[0]}) AS INT)",
     "strpos": lambda a: f"instr({a[0]}, {a[1]})",
-    "regexp_matches": lambda a: f"regexp_like({a[0]}, {a[1]})",
+    "regexp_matches": _matches,
     "strftime": lambda a: f"date_format({a[0]}, {quoted(java_pattern(unquoted(a[1])))})",
     "logical_and": lambda a: f"bool_and({a[0]})",
     "logical_or": lambda a: f"bool_or({a[0]})",

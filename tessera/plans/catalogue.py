@@ -59,38 +59,52 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     ),
     "scan_agg_full": (
         "lineitem",
-        """SELECT round(sum(l_quantity), 2) AS a, round(avg(l_extendedprice), 4) AS b, round(min(l_extendedprice), 2) AS c,
-                  round(max(l_discount), 4) AS d, count(*) AS e FROM lineitem""",
+        """SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS s, round(avg(l_quantity), 4) AS q,
+                  round(min(l_discount), 4) AS md, round(max(l_tax), 4) AS mt FROM lineitem WHERE l_quantity > 25""",
         None,
     ),
     "four_table_join": (
-        "region nation customer orders",
-        """SELECT n_name, r_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
-           JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-           GROUP BY n_name, r_name ORDER BY total DESC, n_name LIMIT 10""",
+        "lineitem orders customer nation",
+        """SELECT n_name, round(sum(l_extendedprice), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10""",
+        None,
+    ),
+    "high_card_group": (
+        "lineitem",
+        """SELECT l_orderkey, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, count(*) AS count_order
+           FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_orderkey ORDER BY l_orderkey""",
+        None,
+    ),
+    "high_card_minmax": (
+        "lineitem",
+        """SELECT l_orderkey, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty, round(avg(l_quantity), 6) AS avg_qty
+           FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_orderkey ORDER BY l_orderkey""",
         None,
     ),
-    "high_card_group": ("lineitem", "SELECT l_orderkey, round(sum(l_quantity), 2) AS qty, count(*) AS n FROM lineitem GROUP BY l_orderkey", None),
-    "high_card_minmax": ("lineitem", "SELECT l_orderkey, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_orderkey", None),
     "join_high_card": (
         "orders lineitem",
-        "SELECT o_orderkey, round(sum(l_quantity), 2) AS qty, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+        """SELECT o_orderkey, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, count(*) AS count_order
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey ORDER BY o_orderkey""",
         None,
     ),
     "join_where_filter": (
-        "nation customer orders",
-        """SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
-           JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AND c_acctbal > 0 GROUP BY n_name ORDER BY n DESC, n_name LIMIT 10""",
+        "lineitem orders customer nation",
+        """SELECT n_name, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+           WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15 00:00:00' AND l_quantity < 24
+           GROUP BY n_name ORDER BY revenue DESC, n_name LIMIT 10""",
         None,
     ),
     "join_fact_key": (
         "orders lineitem",
-        "SELECT l_returnflag, o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag, o_orderpriority",
+        """SELECT l_orderkey, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           WHERE o_orderdate < TIMESTAMP '1998-03-15 00:00:00' GROUP BY l_orderkey ORDER BY revenue DESC, l_orderkey LIMIT 10""",
         None,
     ),
     "join_multi_key_dim": (
         "orders lineitem",
-        "SELECT o_orderstatus, l_linestatus, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus, l_linestatus",
+        """SELECT o_orderdate, o_orderstatus, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+           WHERE o_orderdate < TIMESTAMP '1998-03-15 00:00:00' GROUP BY o_orderdate, o_orderstatus ORDER BY revenue DESC, o_orderdate LIMIT 10""",
         None,
     ),
     # Scans, projections, predicates.
@@ -210,7 +224,7 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     "order_nulls_last": ("", f"SELECT k, w FROM {_A} ORDER BY k DESC NULLS LAST LIMIT 3", None),
     "order_nulls_default": ("", f"SELECT k, w FROM {_A} ORDER BY k DESC LIMIT 4", f"SELECT k, w FROM {_A} ORDER BY k DESC NULLS LAST LIMIT 4"),
     "offset_only": ("nation", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey OFFSET 20", None),
-    "order_expr": ("part", "SELECT p_partkey FROM part ORDER BY p_size % 10 DESC, p_retailprice * -1, p_partkey LIMIT 20", None),
+    "order_expr": ("part", "SELECT p_partkey, row_number() OVER (ORDER BY p_size % 10 DESC, p_retailprice * -1, p_partkey) AS place FROM part ORDER BY p_size % 10 DESC, p_retailprice * -1, p_partkey", None),
     "limit_offset": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 3", None),
     "union_all": ("supplier customer", "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer", None),
     "union_distinct": ("supplier customer", "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer", None),
@@ -248,7 +262,59 @@ SQL: dict[str, tuple[str, str, str | None]] = {
     "date_diff": ("", f"SELECT CAST(datediff('day', CAST(ts AS DATE), d2) AS BIGINT) AS n FROM {_D}", None),
     "date_names": ("", f"SELECT dayname(ts) AS d, monthname(ts) AS m, last_day(CAST(ts AS DATE)) AS l FROM {_D}", None),
     "strftime": ("", f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts, '%b %a %j %y') AS b FROM {_D}", None),
+    "date_trunc_second": ("", f"SELECT date_trunc('second', ts) AS s, date_trunc('quarter', ts) AS q, date_trunc('week', ts) AS w FROM {_D}", None),
+    "date_diff_units": (
+        "",
+        f"SELECT datediff('hour', ts, CAST(d2 AS TIMESTAMP)) AS h, datediff('minute', ts, CAST(d2 AS TIMESTAMP)) AS m, datediff('second', ts, CAST(d2 AS TIMESTAMP)) AS s FROM {_D}",
+        f"SELECT date_sub('hour', ts, CAST(d2 AS TIMESTAMP)) AS h, date_sub('minute', ts, CAST(d2 AS TIMESTAMP)) AS m, date_sub('second', ts, CAST(d2 AS TIMESTAMP)) AS s FROM {_D}",
+    ),
+    "date_now": ("orders", "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderdate < CURRENT_DATE) AS past, count(*) FILTER (WHERE o_orderdate < NOW() AND NOW() <= CURRENT_TIMESTAMP) AS gone FROM orders", None),
     # Dialect.
+    "quoted_names": ("part", """SELECT "p_partkey" AS "part key", p."p_size" AS "size ""in"" cm" FROM "part" AS p WHERE "p_size" > 5 AND p_brand <> 'a"b'""", None),
+    "backslash_texts": ("part", r"SELECT p_partkey, 'a\b' || p_brand AS a, '\' AS b, 'it''s \n' AS c, p_name LIKE '%${x}%' AS d, '${x}' AS e FROM part", None),
+    "regex_classes": ("part", r"SELECT p_partkey, regexp_matches(p_brand, '#\d\d$') AS a, regexp_matches(p_type, '^promo\b', 'i') AS b, regexp_replace(p_brand, '\d+', '<\0>') AS c FROM part", None),
+    "regex_first": (
+        "part",
+        r"SELECT p_partkey, regexp_replace(p_name, '(\w+) (\w+)', '\2 \1') AS a, regexp_replace(p_type, 'x*', '-') AS b, regexp_replace(p_type, '[A-Z]$', '$') AS c, regexp_replace(p_type, '[AEIOU]', '', 'g') AS d, regexp_replace(p_type, 'e', '_', 'gi') AS e FROM part",
+        None,
+    ),
+    "regex_lookahead": (
+        "",
+        f"SELECT k, regexp_replace(s, 'b(?=c)', 'X') AS a, regexp_replace(s, '(?<=A)b', 'Y') AS b FROM {_S}",
+        f"SELECT k, replace(s, 'bc', 'Xc') AS a, replace(s, 'Ab', 'AY') AS b FROM {_S}",
+    ),
+    "initcap_letters": (
+        "",
+        "SELECT x, initcap(x) AS i FROM VALUES ('élan VITAL'), ('o''neil mc-donald'), ('3rd straße 4ab'), ('')  AS t(x)",
+        "SELECT x, i FROM (VALUES ('élan VITAL', 'Élan Vital'), ('o''neil mc-donald', 'O''Neil Mc-Donald'), ('3rd straße 4ab', '3Rd Straße 4Ab'), ('', '')) t(x, i)",
+    ),
+    "decimals": (
+        "lineitem",
+        "SELECT l_orderkey, CAST(CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS DOUBLE) AS q, CAST(max(CAST(l_tax AS DECIMAL)) AS DOUBLE) AS t FROM lineitem GROUP BY l_orderkey",
+        "SELECT l_orderkey, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS q, CAST(max(l_tax) AS DOUBLE) AS t FROM lineitem GROUP BY l_orderkey",
+    ),
+    "win_range_numbers": (
+        "orders",
+        "SELECT o_orderkey, sum(o_custkey) OVER (ORDER BY o_orderkey RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS n FROM orders",
+        "SELECT o_orderkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderkey RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS n FROM orders",
+    ),
+    "win_range_days": ("events", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n, max(event_id) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM events", None),
+    "qualify_distinct": ("orders", "SELECT DISTINCT o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) <= 2", None),
+    "qualify_unselected": ("orders", "SELECT o_orderkey FROM orders QUALIFY o_totalprice = max(o_totalprice) OVER (PARTITION BY o_custkey) AND o_orderstatus <> 'P' ORDER BY o_totalprice DESC", None),
+    "qualify_set_arms": (
+        "orders",
+        """SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1
+           UNION ALL SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 ORDER BY 1, 2""",
+        None,
+    ),
+    "qualify_nested": (
+        "orders customer",
+        """WITH firsts AS (SELECT o_custkey, o_orderkey, rank() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) QUALIFY r + 1 <= 3)
+           SELECT c_nationkey, count(*) AS n FROM customer JOIN (SELECT * FROM firsts QUALIFY count(*) OVER (PARTITION BY o_custkey) = 2) f ON c_custkey = f.o_custkey GROUP BY c_nationkey""",
+        None,
+    ),
+    "qualify_grouped": ("orders", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey QUALIFY rank() OVER (ORDER BY count(*) DESC, o_custkey) <= 20", None),
+    "qualify_join": ("customer orders", "SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey QUALIFY lag(o.o_orderkey) OVER (PARTITION BY c.c_nationkey ORDER BY o.o_orderkey) IS NULL", None),
     "qualify_topn": ("orders", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2", None),
     "ask_count": ("events", questions.to_sql("how many events per event type", _ASKED), "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
     "ask_highest": ("orders", questions.to_sql("highest totalprice of orders per orderpriority", _ASKED), "SELECT o_orderpriority, max(o_totalprice) AS max_o_totalprice FROM orders GROUP BY o_orderpriority"),
