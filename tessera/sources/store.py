@@ -1,8 +1,11 @@
 """Versioned tables: an immutable Parquet base with inserts and tombstones in numbered commits.
 
 A commit is Parquet written first and one manifest published last, so a crash leaves no half commit: folders without a manifest are
-never read. Row r with insert number i is visible when no delete of its key has a number >= i and no update one > i. Reads are
-plain DataFrame plans over base and deltas, so filters and columns reach the scans. Writers are one at a time; the last wins.
+never read. Manifests are named by their first number and never replaced, so of two writers who saw the same state the second is told, reads
+what the first has committed, checks its constraints again and takes the next number. The catalogue is published in numbered versions; the
+highest counts. Row r with insert number i is visible when no delete of its key has a number >= i and no update one > i. Reads are
+plain DataFrame plans over base and deltas, so filters and columns reach the scans: one scan of the base and of all inserts between two
+deletes or updates, and after COMPACT_AFTER commits all are folded into a new base (where no snapshot needs them).
 """
 
 from __future__ import annotations
@@ -18,12 +21,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.files import Files
+from tessera.sources.files import Files, Taken
 
+COMPACT_AFTER = 64
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a temporary one where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """The shared folder that the session names; a local session may do without and gets a temporary one."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
+class ConflictError(RuntimeError):
+    """Another writer has changed the catalogue; the state has been read anew, so the caller may try again."""
 
 
 class ConstraintError(ValueError):
@@ -82,21 +94,36 @@ class _Tables:
         changes = [c for c in self._changes() if c.table == name and c.number > meta["base_number"] and (upto is None or c.number <= upto)]
         if not changes:
             return base
-        rows = base.withColumn("_at", F.lit(meta["base_number"]))
+        groups = [(meta["base_number"], [meta["base"]])]
         for c in changes:
+            if c.keys and c.kind == "update":
+                groups.append((c.number, []))
             if c.inserted:
-                rows = rows.unionByName(self.spark.read.schema(schema).parquet(c.inserted).withColumn("_at", F.lit(c.number)))
+                groups[-1][1].append(c.inserted)
+            if c.keys and c.kind == "delete":
+                groups.append((c.number + 1, []))
         pk, gone = self.constraints(name).primary_key, None
         for c in changes:
             if c.keys:
                 limit = F.lit(c.number if c.kind == "delete" else c.number - 1)
-                part = self.spark.read.schema(T.StructType([schema[k] for k in pk])).parquet(c.keys).withColumn("_limit", limit)
+                part = self._keys(name, c.keys).withColumn("_limit", limit)
                 gone = part if gone is None else gone.unionByName(part)
         if gone is None:
-            return rows.drop("_at")
+            return self.spark.read.schema(schema).parquet(*(path for _, paths in groups for path in paths))
+        rows = None
+        for at, paths in groups:
+            if paths:
+                part = self.spark.read.schema(schema).parquet(*paths).withColumn("_at", F.lit(at))
+                rows = part if rows is None else rows.unionByName(part)
         last = gone.groupBy(*pk).agg(F.max("_limit").alias("_limit"))
         return rows.join(last, pk, "left").where(F.col("_limit").isNull() | (F.col("_limit") < F.col("_at"))).select(*schema.names)
 
+    def _keys(self, name: str, path: str) -> DataFrame:
+        """Primary keys in a file of keys, where they stand as _old_k."""
+        schema, pk = self.schema(name), self._keyed(name)
+        old = T.StructType([T.StructField(f"_old_{k}", schema[k].dataType) for k in pk])
+        return self.spark.read.schema(old).parquet(path).toDF(*pk)
+
     def _write(self, df: DataFrame) -> str:
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -104,7 +131,9 @@ class _Tables:
 
     def _check(self, name: str, rows: DataFrame, others: DataFrame) -> None:
         """`rows` are about to be added beside `others`."""
-        c = self.constraints(name)
+        self._check_declared(name, self.constraints(name), rows, others)
+
+    def _check_declared(self, name: str, c: Constraints, rows: DataFrame, others: DataFrame) -> None:
         required = {*c.not_null, *c.primary_key}
         if required:
             broken = " OR ".join(f"`{k}` IS NULL" for k in sorted(required))
@@ -142,8 +171,8 @@ class _Tables:
     def delete(self, name: str, condition: str | None = None) -> int:
         """Deletes the rows for which the condition is true."""
         pk, rows = self._keyed(name), self.read(name).alias(name)
-        path = self._write((rows.where(condition) if condition else rows).select(*pk))
-        if n := self.spark.read.parquet(path).count():
+        path = self._write((rows.where(condition) if condition else rows).select(*[F.col(k).alias(f"_old_{k}") for k in pk]))
+        if n := self._keys(name, path).count():
             self._commit([Change(name, self._next(), keys=path)])
         return n
 
@@ -151,11 +180,11 @@ class _Tables:
         """Sets columns to expressions over the old row."""
         pk, rows, schema = self._keyed(name), self.read(name).alias(name), self.schema(name)
         hit = rows.where(condition) if condition else rows
-        keys = self._write(hit.select(*pk))
-        path, stored = self._stored(name, hit.select(*[F.expr(values[f.name]).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in schema]))
-        self._check(name, stored, rows.join(self.spark.read.parquet(keys), pk, "left_anti"))
+        new = [F.expr(values[f.name]).cast(f.dataType).alias(f.name) if f.name in values else F.col(f.name) for f in schema]
+        path, stored = self._stored(name, hit.select(*[F.col(k).alias(f"_old_{k}") for k in pk], *new))  # keys and rows of one evaluation
+        self._check(name, stored, rows.join(self._keys(name, path), pk, "left_anti"))
         if n := stored.count():
-            self._commit([Change(name, self._next(), inserted=path, keys=keys, kind="update")])
+            self._commit([Change(name, self._next(), inserted=path, keys=path, kind="update")])
         return n
 
     def merge(
@@ -175,14 +204,16 @@ class _Tables:
         pk, rows, schema = self._keyed(name), self.read(name), self.schema(name)
         t, s = rows.alias(target), source.alias(origin)
         hit = t.join(s, F.expr(on), "inner").where(matched_if)
-        touched = hit.select(*[F.col(f"{target}.{k}").alias(k) for k in pk])
+        old = [F.col(f"{target}.{k}").alias(f"_old_{k}") for k in pk]
+        updated = [(F.expr(matched_update[f.name]) if matched_update and f.name in matched_update else F.col(f"{target}.{f.name}")).cast(f.dataType).alias(f.name) for f in schema]
+        touched = hit.select(*old, *updated)
         keys = self._write(touched if matched_update or matched_delete else touched.limit(0))
-        gone = self.spark.read.schema(T.StructType([schema[k] for k in pk])).parquet(keys)
+        gone = self._keys(name, keys)
         if gone.groupBy(*pk).count().where("count > 1").limit(1).count():
             raise ConstraintError("a target row matches several source rows")
         new = None
         if matched_update:
-            new = hit.select(*[(F.expr(matched_update[f.name]) if f.name in matched_update else F.col(f"{target}.{f.name}")).cast(f.dataType).alias(f.name) for f in schema])
+            new = self.spark.read.schema(schema).parquet(keys)
         if not_matched_insert:
             fresh = s.join(t, F.expr(on), "left_anti").where(not_matched_if)
             fresh = fresh.select(*[F.expr(not_matched_insert.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in schema])
@@ -201,17 +232,40 @@ class Store(_Tables):
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root, Files(spark, root)
         self._log: list[tuple[str, list[Change]]] = []
-        self._catalogue: dict = {"tables": {}, "snapshots": {}}
+        self._catalogue: dict = {}
+        self._version = 0
         self.reload()
 
     def reload(self) -> None:
         """Recovers the state from what has been published."""
-        if "catalogue.json" in self.files.names(""):
-            self._catalogue = json.loads(self.files.read("catalogue.json"))
-        self._log = [(n, [Change(**c) for c in json.loads(self.files.read(f"log/{n}"))]) for n in self.files.names("log")]
+        versions = self._versions()
+        self._version = versions[-1] if versions else 0
+        self._catalogue = json.loads(self.files.read(self._named(self._version))) if versions else {"tables": {}, "snapshots": {}}
+        self._read_log()
+
+    def _versions(self) -> list[int]:
+        return [int(n.removesuffix(".json").removeprefix("catalogue-")) for n in self.files.names("") if n.startswith("catalogue-")]
+
+    def _named(self, version: int) -> str:
+        return f"catalogue-{version:012d}.json"
+
+    def _read_log(self) -> None:
+        """The manifests after the last fold, those known already without reading them again."""
+        known, folded = dict(self._log), self._catalogue.get("folded", 0)
+        names = [n for n in self.files.names("log") if int(n.removesuffix(".json")) > folded]
+        self._log = [(n, known.get(n) or [Change(**c) for c in json.loads(self.files.read(f"log/{n}"))]) for n in names]
 
     def _save(self) -> None:
-        self.files.publish("catalogue.json", json.dumps(self._catalogue))
+        """Publishes the next version of the catalogue; the one before stays for those who are reading it."""
+        try:
+            self.files.publish(self._named(self._version + 1), json.dumps(self._catalogue))
+        except Taken as e:
+            self.reload()
+            raise ConflictError("another writer has changed the catalogue") from e
+        self._version += 1
+        for old in self._versions():
+            if old < self._version - 1:
+                self.files.remove(self._named(old))
 
     def _meta(self, name: str) -> dict:
         return self._catalogue["tables"][name]
@@ -221,15 +275,39 @@ class Store(_Tables):
 
     def tip(self) -> int:
         """The number of the last change."""
-        return max([0, *(c.number for c in self._changes()), *(m["base_number"] for m in self._catalogue["tables"].values())])
+        return max([self._catalogue.get("folded", 0), *(c.number for c in self._changes()), *(m["base_number"] for m in self._catalogue["tables"].values())])
 
     def _next(self) -> int:
         return self.tip() + 1
 
     def _commit(self, changes: list[Change]) -> None:
-        name = f"{changes[-1].number:020d}.json"
-        self.files.publish(f"log/{name}", json.dumps([asdict(c) for c in changes]))
+        if self._versions()[-1:] != [self._version]:  # tables may have been folded, altered or dropped
+            self.reload()
+            changes = self._renumbered(changes)
+        while True:
+            name = f"{changes[0].number:020d}.json"
+            try:
+                self.files.publish(f"log/{name}", json.dumps([asdict(c) for c in changes]))
+                break
+            except Taken:
+                self._read_log()
+                changes = self._renumbered(changes)
         self._log.append((name, changes))
+        if len(self._log) >= COMPACT_AFTER and not self._catalogue["snapshots"]:
+            self.checkpoint()
+
+    def _renumbered(self, changes: list[Change]) -> list[Change]:
+        """The changes after all that others have committed, if they still keep the constraints."""
+        for c in changes:
+            if c.table not in self._catalogue["tables"]:
+                raise ConflictError(f"another writer has dropped {c.table}")
+            if c.inserted:
+                others = self.read(c.table)
+                if c.keys:
+                    others = others.join(self._keys(c.table, c.keys), self._keyed(c.table), "left_anti")
+                self._check(c.table, self.spark.read.schema(self.schema(c.table)).parquet(c.inserted), others)
+        first = self._next()
+        return [replace(c, number=first + i) for i, c in enumerate(changes)]
 
     # Catalogue.
 
@@ -238,8 +316,13 @@ class Store(_Tables):
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
         constraints = Constraints(primary_key or [], not_null or [], unique or [], defaults or {})
         path = self._write(rows)
-        self._catalogue["tables"][name] = {"base": path, "base_number": self.tip(), "schema": json.loads(schema.json()), "constraints": asdict(constraints)}
-        self._check(name, self.spark.read.schema(schema).parquet(path), rows.limit(0))
+        meta = {"base": path, "base_number": self.tip(), "schema": json.loads(schema.json()), "constraints": asdict(constraints)}
+        try:
+            self._check_declared(name, constraints, self.spark.read.schema(schema).parquet(path), rows.limit(0))
+        except ConstraintError:
+            self.files.remove(path.removeprefix(f"{self.root}/"))
+            raise
+        self._catalogue["tables"][name] = meta
         self._save()
 
     def register(self, name: str, path: str, **constraints) -> None:
@@ -308,9 +391,11 @@ class Store(_Tables):
         for name in self.tables():
             self._meta(name).update(base=fresh.get(name, self._meta(name)["base"]), base_number=tip)
         self._catalogue["snapshots"] = {k: v for k, v in self._catalogue["snapshots"].items() if v == tip}
+        before, self._catalogue["folded"] = self._catalogue.get("folded", 0), tip
         self._save()
-        for name, _ in self._log:
-            self.files.remove(f"log/{name}")
+        for name in self.files.names("log"):  # what this fold took in stays until the next one, for writers who saw less
+            if int(name.removesuffix(".json")) <= before:
+                self.files.remove(f"log/{name}")
         self._log = []
 
     @contextmanager
