@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -29,9 +30,18 @@ def session(cores: int | None = None, app: str = "tessera", memory: str = "8g")
     return spark
 
 
+_SCHEMAS: dict[tuple, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` under `sf_dir`, through Spark's reader only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table `name` under `sf_dir`, through Spark's reader only; footers are read once for each state of the path."""
+    path = f"{sf_dir}/{name}.parquet"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (spark.sparkContext.applicationId, path, status.getModificationTime(), status.getLen())
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
