@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from typing import TextIO
 
@@ -10,7 +11,7 @@ from tessera.engine import Engine
 from tessera.session import session
 
 HELP = """statements end with ;
-:tables  :schema T  :explain Q  :profile T  :sample T [N]  :export KIND PATH QUERY  :snapshot N  :restore N  :checkpoint  :drop T  :alter ...  :history  :help  :quit"""
+:tables  :schema T  :explain Q  :plan Q  :profile T  :sample T [N]  :export KIND PATH QUERY  :snapshot N  :restore N  :checkpoint  :drop T  :alter ...  :history  :help  :quit"""
 SHOWN = 100
 
 
@@ -41,6 +42,8 @@ def command(engine: Engine, line: str, out: TextIO) -> bool:
     elif word == "schema":
         for k, v in engine.store.describe(rest).items():
             print(f"{k}: {v}", file=out)
+    elif word == "plan":
+        print(json.dumps(engine.plan(rest), indent=1), file=out)
     elif word == "profile":
         show(engine.profile(rest), out)
     elif word == "sample":
