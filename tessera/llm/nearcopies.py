@@ -1,13 +1,18 @@
-"""Near copies by Jaccard similarity of word shingles, for the pipeline: MinHash bands find candidates, sets decide.
+"""Near copies by Jaccard similarity of word shingles, for the pipeline: fingerprints and MinHash find candidates, sets decide.
 
-Texts of the same words (ASCII case and spacing aside) are one node. BANDS bands of BAND_ROWS minima make two nodes
-candidates; at similarity s they miss each other with probability (1 - s**BAND_ROWS)**BANDS, 3e-5 at 0.8. A candidate counts
-only if the Jaccard similarity of the two whole shingle sets (32-bit hashes) reaches LEAST. Components of these links are groups.
+Texts of the same words (ASCII case and spacing aside) are one node. Two nodes are candidates when their SimHash fingerprints
+(operator 3, over five-word shingles) lie within its radius, found by its ball hashing, or when one of BANDS bands of BAND_ROWS
+minima is equal. Fingerprints alone cannot do it: at a similarity of 0.8 about 10 of 64 bits differ, and balls of half that radius
+have 8 million variants. At similarity s two nodes miss each other in all bands with probability (1 - s**BAND_ROWS)**BANDS, 3e-5 at 0.8.
+A candidate counts only if the Jaccard similarity of the two whole shingle sets (32-bit hashes) reaches LEAST. Components of these
+links are groups.
 
 Where a band key gathers more than FEW nodes, they are linked by a forest within that key's own set instead of all pairs.
 
 Defined cases: a null or blank text has no shingle, and all such texts are copies of each other; a text of fewer words than a
-shingle has its whole sequence as one; rows are told apart by doc_id and text, so null and repeated ids are no special case.
+shingle has its whole sequence as one; rows are told apart by doc_id and text, so null and repeated ids are no special case; of rows equal
+in both that with the least hash of all columns stays; texts of any length are read whole; an empty table gives no rows; all columns
+come back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.textkit import LOWER, SPACE, durable, matching_rows, mix, powers, prefix_sums, slice_hashes, text_blocks, text_tie, word_spans
+from tessera.llm.simhash import fingerprint_links, majority_bits
+from tessera.llm.textkit import LOWER, SPACE, durable, keep_firsts, mix, powers, prefix_sums, slice_hashes, text_blocks, text_tie, whole_groups, word_spans
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
@@ -71,19 +77,21 @@ def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def marks(documents: DataFrame) -> DataFrame:
-    """doc_id, tie, node, bands and shingles of every row."""
+    """doc_id, tie, node, fingerprint, bands and shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
             nodes, shingles, first = shingle_sets(data, offsets)
             keys = band_keys(shingles, first).view(np.int64)
+            fps = majority_bits(mix(shingles.astype(np.uint64) + np.uint64(1)), first)
             bounds = first.tolist()
             some = np.diff(first) > 0
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(keys[some].ravel(), pa.int64()))
             sets = pa.array([shingles[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("tie"), pa.array(nodes.view(np.int64)), lists, sets], names=["doc_id", "tie", "node", "bands", "shingles"])
+            columns = [rows.column("doc_id").cast(pa.int64()), rows.column("tie"), pa.array(nodes.view(np.int64)), pa.array(fps.view(np.int64)), lists, sets]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "node", "fp", "bands", "shingles"])
 
-    return documents.select("doc_id", "text", text_tie().alias("tie")).mapInArrow(run, "doc_id long, tie long, node long, bands array<long>, shingles binary")
+    return documents.select("doc_id", "text", text_tie().alias("tie")).mapInArrow(run, "doc_id long, tie long, node long, fp long, bands array<long>, shingles binary")
 
 
 def candidates(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,13 +148,21 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v) among `nodes` (node, fp): nodes of one fingerprint with its least, and the least ones of linked fingerprints."""
+    low = nodes.groupBy("fp").agg(F.min("node").alias("low"))
+    alike = nodes.join(low, "fp").where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    links = fingerprint_links(low.select("fp"))
+    near = links.join(low.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(low.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v")
+    return alike.union(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def near_links(marked: DataFrame) -> DataFrame:
     """Links (u, v) between nodes, enough of them to connect all candidates of similarity LEAST or more."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), b.column("node").to_numpy()) for b in batches]
-        if parts:
-            u, v, keys, nodes = candidates(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))
+        for key, node in whole_groups(batches, ["key", "node"]):
+            u, v, keys, nodes = candidates(key, node)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["u", "v", "key"])
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(keys)], names=["u", "v", "key"])
 
@@ -163,9 +179,10 @@ def near_links(marked: DataFrame) -> DataFrame:
         for members in groups.values():
             yield _links([(members[i][0], members[j][0]) for i, j in forest([s for _, s in members])])
 
+    nodes = marked.select("node", "fp").distinct()
     keyed = marked.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    met = durable(keyed.repartition("key").mapInArrow(meet, "u long, v long, key long"))
-    pairs = met.where("key IS NULL").select("u", "v").distinct()
+    met = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long, key long"))
+    pairs = durable(met.where("key IS NULL").select("u", "v").union(fingerprint_pairs(nodes)).distinct())
     crowds = met.where("key IS NOT NULL").select("key", "u")
     needed = pairs.select("u").union(pairs.select("v")).union(crowds.select("u")).distinct().withColumnRenamed("u", "node")
     sets = durable(marked.select("node", "shingles").join(needed, "node", "left_semi").dropDuplicates(["node"]))
@@ -178,9 +195,5 @@ def keep_first_copies(documents: DataFrame) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id (null last), then text hash. Columns as they came."""
     marked = durable(marks(documents))
     groups = connected_components(near_links(marked))
-    named = marked.select("doc_id", "tie", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
-    kept = matching_rows(documents, first.select("first.doc_id", "first.tie").distinct())
-    if marked.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    named = marked.select("doc_id", "tie", "node").join(groups, "node", "left")
+    return keep_firsts(documents, named.select("doc_id", "tie", F.coalesce("component", "node").alias("component")))

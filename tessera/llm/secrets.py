@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.textkit import binary
+from tessera.llm.textkit import binary, text_blocks
 
 # Kinds in their order, words, patterns and least lengths.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -145,13 +145,13 @@ def redact(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in batches:
+        for batch, raw, offsets in text_blocks(batches):
             at = batch.schema.get_field_index("text")
             column = batch.column(at)
             texts, lengths = [], []
-            for text in column.cast(pa.large_binary()):
-                data = text.as_py()
-                spans = find_spans(data, automaton) if data is not None else []
+            for a, b, valid in zip(offsets[:-1].tolist(), offsets[1:].tolist(), column.is_valid().to_pylist(), strict=True):
+                data = raw[a:b].tobytes() if valid else None
+                spans = find_spans(data, automaton) if valid else []
                 if spans:
                     out, last = [], 0
                     for start, end, kind in _merged(spans):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.llm.textkit import binary, durable, matching_rows, text_tie
+from tessera.llm.textkit import binary, durable, keep_firsts, text_tie, whole_groups
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -53,17 +53,27 @@ def fingerprint(data: bytes, size: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, size: int = SHINGLE_WORDS, ties: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a long; with `ties` also tie, the hash of the text."""
-    more = ["tie"] if ties else []
+def majority_bits(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Fingerprint of each run of hashes, from first[i] to first[i + 1]; zero for an empty run."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        size = np.diff(first)[some]
+        for bit in range(64):
+            ones = np.add.reduceat((hashes >> np.uint64(bit) & np.uint64(1)).astype(np.int32), first[some])
+            out[some] |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def fingerprints(documents: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, tie (hash of the text) and fp, the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size) for t in binary(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64()), *map(batch.column, more)], names=["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("tie"), pa.array(found, pa.int64())], names=["doc_id", "tie", "fp"])
 
-    picked = documents.select("doc_id", "text", text_tie().alias("tie")) if ties else documents.select("doc_id", "text")
-    return picked.mapInArrow(run, "doc_id long, fp long" + ", tie long" * ties)
+    return documents.select("doc_id", "text", text_tie().alias("tie")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def ball_masks(radius: int) -> list[tuple[int, int]]:
@@ -117,27 +127,21 @@ def link_members(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) between the distinct fingerprints `fp` within the radius, enough of them to connect all that are linked."""
     masks = F.array(*[F.struct(F.lit(keep).alias("keep"), F.lit(flip).alias("flip")) for keep, flip in ball_masks(radius)])
-    variants = distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m["flip"]).bitwiseAND(m["keep"]))).alias("key"))
+    # Each fingerprint becomes many rows, so they are spread over all partitions before, however few bytes they take.
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    variants = spread.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m["flip"]).bitwiseAND(m["keep"]))).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("key").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if parts:
-            u, v = link_members(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]), radius)
+        for keys, values in whole_groups(batches, ["key", "fp"]):
+            u, v = link_members(keys, values, radius)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return variants.repartition("key").mapInArrow(run, "u long, v long")
-
-
-def _components(marked: DataFrame, radius: int) -> DataFrame:
-    """fp and component of the fingerprints of `marked`."""
-    distinct = marked.select("fp").distinct()
-    groups = connected_components(fingerprint_links(distinct, radius)).withColumnRenamed("node", "fp")
-    return distinct.join(groups, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every document."""
-    marked = durable(fingerprints(documents, size))
+    marked = durable(fingerprints(documents, size).select("doc_id", "fp"))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = connected_components(fingerprint_links(distinct.select("fp"), radius))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -151,12 +155,13 @@ def simhash_digests(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first_copies(documents: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest doc_id (null last), then text hash. Columns as they came.
+def keep_first_copies(documents: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (null last), then text hash. Columns as they came.
 
-    Rows are told apart by doc_id and text, so null and repeated ids are no special case.
+    Rows are told apart by doc_id and text, so null and repeated ids are no special case; of rows equal in both that with the least
+    hash of all columns stays.
     """
-    marked = durable(fingerprints(documents, ties=True))
-    named = marked.join(_components(marked, RADIUS), "fp")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
-    return matching_rows(documents, first.select("first.doc_id", "first.tie").distinct()).dropDuplicates(["doc_id", "text"])
+    marked = durable(fingerprints(documents, size))
+    groups = connected_components(fingerprint_links(marked.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    named = marked.join(groups, "fp", "left").select("doc_id", "tie", F.coalesce("component", "fp").alias("component"))
+    return keep_firsts(documents, named)

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 1 << 20
 
@@ -38,11 +39,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: what the session names, or the checkpoint folder that has been set. Only a
+    local session, whose driver and executors are one, may do without and gets a folder of its own."""
+    context = spark.sparkContext
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    chosen = context._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back; sets a folder only where the session has none."""
+    """`df` written to the shared checkpoint folder and read back."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -66,11 +81,44 @@ def text_tie():
     return F.xxhash64(F.col("text"), F.col("text").isNull())
 
 
-def matching_rows(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows whose doc_id and text hash are among `keys` (doc_id, tie), or are not (left_anti)."""
-    tie = F.xxhash64(rows["text"], rows["text"].isNull())
-    keys = keys.select(F.col("doc_id").alias("_key_id"), F.col("tie").alias("_key_tie"))
-    return rows.join(keys, rows["doc_id"].eqNullSafe(keys["_key_id"]) & (tie == keys["_key_tie"]), how)
+#: So many (doc_id, tie) keys are sent to every task; in a hash table they take about 60 bytes each, 12 MB.
+MOST_SENT_KEYS = 200_000
+
+
+def without_rows(rows: DataFrame, keys: DataFrame, most_sent: int = MOST_SENT_KEYS) -> DataFrame:
+    """The rows whose doc_id and text hash are not among `keys` (doc_id, tie); columns as they came.
+
+    Up to `most_sent` keys are sent to every task and no text is shuffled; more of them meet the rows in a merge join, to which
+    texts travel compressed.
+    """
+    keys = durable(keys.select(F.col("doc_id").alias("__key_id"), F.col("tie").alias("__key_tie")).distinct())
+    few = keys.count() <= most_sent
+    tied = rows.withColumn("__tie", text_tie())
+    left = tied if few else packed(tied)
+    met = left["doc_id"].eqNullSafe(keys["__key_id"]) & (left["__tie"] == keys["__key_tie"])
+    found = left.join(F.broadcast(keys) if few else keys.hint("merge"), met, "left_anti").drop("__tie")
+    return found if few else restored(found, rows.schema)
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One row of those with the same doc_id and text: that with the least hash of all its columns. Columns as they came.
+
+    Rows are folded by each task first, so copies never gather, and texts travel compressed.
+    """
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, T.MapType)]
+    tied = packed(rows.withColumn("__tie", text_tie()).withColumn("__order", F.xxhash64(*[F.col(f"`{c}`") for c in plain])))
+    one = tied.groupBy("doc_id", "__tie").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), "__order").alias("__row"))
+    return restored(one.select("__row.*"), rows.schema)
+
+
+def keep_firsts(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of each component of `named` (doc_id, tie, component): that with the smallest doc_id (null last), then text hash."""
+    named = durable(named.groupBy("doc_id", "tie", "component").agg(F.count(F.lit(1)).alias("copies")))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
+    others = named.join(first, "component").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))))
+    if not named.where("copies > 1").isEmpty():
+        rows = one_of_each(rows)
+    return without_rows(rows, others.select("doc_id", "tie"))
 
 
 def binary(column: pa.Array) -> pa.Array:
@@ -96,6 +144,26 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
             start = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of batches sorted by the first of them, in lots of about `rows` rows that part no group of equal values.
+
+    Memory depends on `rows` and on the largest single group, never on the partition.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(n).to_numpy() for n in names))
+            size += batch.num_rows
+        if size >= rows and held[0][0][0] != held[-1][0][-1]:
+            columns = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield tuple(c[:last] for c in columns)
+            held, size = [tuple(c[last:] for c in columns)], size - last
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -167,17 +235,21 @@ def sums_by_document(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def _with_text(schema: T.StructType, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, kind if f.name == "text" else f.dataType, f.nullable) for f in schema])
+
+
 def packed(rows: DataFrame) -> DataFrame:
-    """The rows with the text compressed (null as empty), for the way through a shuffle."""
+    """The rows with the text compressed (null stays null), for the way through a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array([pack(t.as_py()) for t in binary(batch.column(at))], pa.binary()))
+            texts = batch.column(at).cast(pa.large_binary())
+            yield batch.set_column(at, "text", pa.array([pack(t.as_py()) if t.is_valid else None for t in texts], pa.binary()))
 
-    fields = ", ".join(f"{name} {'binary' if name == 'text' else kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(run, _with_text(rows.schema, T.BinaryType()))
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,4 +257,15 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array([unpack(t.as_py()) for t in batch.column(at)], pa.large_binary()))
+        yield batch.set_column(at, "text", pa.array([unpack(t.as_py()) if t.is_valid else None for t in batch.column(at)], pa.large_binary()))
+
+
+def restored(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """packed() rows with their texts as before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in unpacked(batches):
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", batch.column(at).cast(pa.large_string()).cast(pa.string()))
+
+    return rows.mapInArrow(run, _with_text(schema, T.StringType()))
