@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import BLOCK_BYTES, durable, mix, packed, powers, prefix_sums, release, slice_hashes, text_blocks
+from tessera.llm.textkit import BLOCK_BYTES, durable, mix, packed, powers, prefix_sums, release, slice_hashes, text_blocks, whole_groups
 
 SPAN = 100
 GRAM = 32
@@ -88,14 +88,10 @@ def _emit(key, digit, doc, tie, low, high, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(np.asarray(tie).astype(np.int32)), pa.array(place.view(np.int64))], names=NAMES)
 
 
-def _taken(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    """key, digit, doc, tie, low, high and kind of all rows of a task; none when there are no rows."""
-    parts = [[b.column(n).to_numpy() for n in NAMES] for b in batches if b.num_rows]
-    if not parts:
-        return None
-    key, digit, doc, tie, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-    place = place.view(np.uint64)
-    return key.view(np.uint64), digit.view(np.uint64), doc, tie, (place >> np.uint64(33)).astype(np.int64), ((place >> np.uint64(2)) & np.uint64(0x7FFFFFFF)).astype(np.int64), (place & np.uint64(3)).astype(np.int64)
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, digit, doc, tie, low, high and kind of the rows of a task, which are sorted by key, in lots of whole keys."""
+    for key, digit, doc, tie, place in whole_groups(batches, NAMES, FOLD_ROWS):
+        yield key.view(np.uint64), digit.view(np.uint64), doc, tie, *_unpacked_place(place), (place.view(np.uint64) & np.uint64(3)).astype(np.int64)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -271,7 +267,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
         yield from folded((of_block(*block, LONG_GRAM) for block in _open_blocks(batches)), fold_anchors)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (taken := _taken(batches)) is not None:
+        for taken in _taken(batches):
             doc, tie, low, high, kind = settle_anchors(*taken)
             yield _emit(kind, np.zeros(len(doc), np.int64), doc, tie, low, high, kind)
 
@@ -280,12 +276,12 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
         yield from folded(parts, fold_windows)
 
     def last_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (taken := _taken(batches)) is not None:
+        for taken in _taken(batches):
             doc, tie, low, high = settle_windows(*taken)
             yield _emit(np.full(len(doc), FULL), np.zeros(len(doc), np.int64), doc, tie, low, high, np.full(len(doc), FULL))
 
     def settled(sent: DataFrame, settle_with) -> DataFrame:
-        made = durable(sent.repartition("key").mapInArrow(settle_with, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
+        made = durable(sent.repartition("key").sortWithinPartitions("key").mapInArrow(settle_with, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
         release(documents.sparkSession)
         return made
 
