@@ -5,9 +5,12 @@ are cut alike in every document. The words wholly inside a chunk are its core; a
 in a bounded table of the worker. A cut may fall anywhere, so the word that straddles it cannot be taken from either
 side: the join is widened on both sides until white space bounds it and is then encoded anew. The tokenizer
 drops white space before it splits, hence pieces bounded by white space encode alone as they do within the text, and the
-concatenation agrees exactly. A core that is not known yet is put together from its words, again encoded once.
+concatenation agrees exactly. A core that is not known yet is put together from its words, again encoded once; where passages
+seldom repeat, this table of words, the smallest chunks of all, is what saves the work.
 
-The tables are emptied when they pass their bounds; that costs time only. The vocabulary file is a parameter.
+The tables are emptied when they pass their bounds; that costs time only. The vocabulary file is a parameter: what it normalises and
+how it splits is read from it. A file that keeps white space, or joins decoded tokens by a rule of its own, does not encode in pieces; its texts are
+encoded whole by the library. One with the splitting rule below has its plain words encoded by its model alone, of any other the library encodes the words.
 
 Defined cases: a null text counts as empty; empty texts have no ids; equal rows give equal rows; texts of any length are
 encoded whole, with memory in proportion to one text; strings of special tokens in a text are special tokens, as in the library;
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -32,8 +36,8 @@ from tessera.llm.textkit import SPACE, mix, prefix_sums, powers, text_blocks
 
 WINDOW = 8
 MASK = np.uint64(0xFF)
-MOST_WORDS = 300_000
-MOST_CHUNK_BYTES = 24 << 20
+MOST_WORDS = 100_000
+MOST_CHUNK_BYTES = 8 << 20
 
 
 def chunk_cuts(data: np.ndarray) -> np.ndarray:
@@ -67,6 +71,17 @@ def pieces_of(data: bytes, cuts: np.ndarray, spaces: np.ndarray) -> list[tuple[b
     return out
 
 
+# The normaliser and the splitting rule under which plain words may go to the model alone.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 #: Letters up to U+00FF, then maybe signs: the tokenizer's pattern makes one piece of each, which its model encodes alone.
 _SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?*#$%&\"()\[\]{}/\\=+@^`~_-]*)")
 
@@ -86,8 +101,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if self.tokenizer.decoder is not None:
-            raise ValueError("joins of decoded text are defined for vocabularies without a decoder, which put a space between tokens")
+        rules = json.loads(self.tokenizer.to_str())
+        #: Whether pieces bounded by white space encode as within the text, and whether plain words may go to the model alone.
+        self.in_pieces = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _SPLITTER and not rules["decoder"] and not rules["post_processor"]
+        self.by_model = self.in_pieces and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
         self.plain: dict[bytes, tuple[bytes, str]] = {}
         self.words: dict[bytes, tuple[bytes, str]] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
@@ -110,7 +127,7 @@ class ChunkEncoder:
         need.difference_update(self.words)
         whole, split, letters = [], [], {}
         for word in need:
-            if m := _SIMPLE.fullmatch(word):
+            if self.by_model and (m := _SIMPLE.fullmatch(word)):
                 split.append((word, *m.groups()))
                 letters[m[1]] = None
                 if m[2]:
@@ -140,6 +157,11 @@ class ChunkEncoder:
                 names[i] = self.tokenizer.id_to_token(i)
         return array("I", ids).tobytes(), " ".join([names[i] for i in ids])
 
+    def encode_whole(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of whole texts, by the library alone."""
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [(array("I", f.ids).tobytes(), self.tokenizer.decode(f.ids, skip_special_tokens=False)) for f in found]
+
     def encode(self, pieces: list[tuple[bytes, bool]]) -> tuple[bytes, str]:
         """Ids and decoded text of the pieces of one text, after learn()."""
         ids, texts = [], []
@@ -166,6 +188,9 @@ def encoded_blocks(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterat
     encoder = ChunkEncoder(vocabulary)
     gc.disable()  # the tables hold many small objects and no cycles; looking for cycles would take most of the time
     for rows, data, offsets in text_blocks(batches):
+        if not encoder.in_pieces:
+            yield rows, encoder.encode_whole([data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            continue
         cuts, spaces, raw = chunk_cuts(data), np.flatnonzero(SPACE[data]), data.tobytes()
         texts = []
         for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
