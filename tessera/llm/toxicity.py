@@ -1,21 +1,24 @@
 """Operator 10: toxicity, on text restored by noisy-channel decoding.
 
 Writers hide words by leetspeak (1d10t), spacing (i d i o t) and repetition (idiooot). Pieces that show such signs become a
-character lattice - each slot holds the letters that may have been meant, with a cost - and Viterbi search under a trigram
-character model, counted over all documents, picks the restored word. Other words are read as they are.
+character lattice - each slot holds the letters that may have been meant, with a cost, and a dropped sign may be nothing or the border of
+two words - and Viterbi search under a trigram character model, counted over all documents, picks the restored words. Letters beyond ASCII
+stand for themselves, and count as the letter below their accent in the model. Pieces of under three signs, and other words, are read as they are.
 
 Marks of toxicity are beginnings of words (whole words too) found much more often in toxic than in clean labelled rows. The
 score joins the marks of a document as independent causes (noisy or) over the rate of unmarked documents. The marks are
-learned from a bounded sample: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, the lowest by a hash of their id.
+learned from a bounded sample: the texts of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids, the lowest by a hash of the id; texts that
+are repeated count once. Tasks read the sample's texts, and counts of beginnings, and which rows have the few that may become marks, reach the driver.
 
 Defined cases: a null or empty text has the score of an unmarked document; without labels every score is 0; a document with
-several labels is toxic if any says so; equal texts have equal scores; any length is scored whole; further columns are ignored.
+several labels is toxic if any says so; equal texts have equal scores; any length is scored whole; further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +35,11 @@ PREFIXES = (4, 5, 6, 7, 8)
 LEAST_SUPPORT = 4
 LEAST_LOG_ODDS = 4.0
 COMMON = 0.03
-MOST_MARKS = 4096
 
 # Letters that a sign may stand for, signs that may be dropped, and the costs of both.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 DROPPED = " .-_*"
-LEET_COST, DROP_COST, DOUBLE_COST = 0.7, 0.2, 1.0
+LEET_COST, DROP_COST, BORDER_COST, DOUBLE_COST = 0.7, 0.2, 0.7, 1.0
 
 _CLASS = np.zeros(256, np.int32)
 _CLASS[97:123] = np.arange(1, 27)
@@ -47,19 +49,19 @@ _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in [*LEET, *".-_*"]]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[[ord(c) for c in LEET if c.isdigit()]] = True
-_BREAK = SPACE.copy()
-_BREAK[128:] = True
+#: Signs that stand for a letter at the end of a word, too, where others are punctuation.
+_TAIL = _DIGIT.copy()
+_TAIL[[ord("@"), ord("$")]] = True
 
 
 def trigram_counts(documents: DataFrame) -> np.ndarray:
-    """Counts of character trigrams (26 letters and a border) over all documents, 27**3 numbers."""
+    """Counts of character trigrams (26 letters and a border) over all documents, 27**3 numbers; two borders part documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(27**3, np.int64)
-        for _, data, _ in text_blocks(batches):
-            c = _CLASS[data]
-            if len(c) > 2:
-                total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
+        for _, data, offsets in text_blocks(batches):
+            c = np.insert(_CLASS[data], np.repeat(offsets, 2), 0)
+            total += np.bincount(c[:-2] * 729 + c[1:-1] * 27 + c[2:], minlength=27**3)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["code", "n"])
 
@@ -78,26 +80,35 @@ def character_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5))
 
 
+@lru_cache(1 << 12)
+def letter_class(c: str) -> int:
+    """1 to 26 for a letter, that below an accent counting; 0 for all else."""
+    base = unicodedata.normalize("NFD", c)[0].lower()
+    return ord(base) - 96 if "a" <= base <= "z" else 0
+
+
 def lattice(piece: str) -> list[list[tuple[str, float]]]:
-    """Slots of (letters, cost) for a lower-case piece; runs of three or more letters stand for one or two."""
+    """Slots of (letters, cost) for a lower-case piece; runs of three or more of one sign stand for one or two; a blank is a border."""
     slots, i = [], 0
     while i < len(piece):
         c, j = piece[i], i
         while j < len(piece) and piece[j] == c:
             j += 1
-        if c.isalpha() and c.isascii():
-            slots += [[(c, 0.0), (c + c, DOUBLE_COST)]] if j - i >= 3 else [[(c, 0.0)]] * (j - i)
+        letters = [(c, 0.0)] if c.isalpha() else [(x, LEET_COST) for x in LEET.get(c, "")]
+        if c in DROPPED:
+            slots.append([("", DROP_COST), (" ", BORDER_COST)])
+        elif not letters:
+            slots.append([("", 3.0)])
+        elif j - i >= 3:
+            slots.append(letters + [(x + x, cost + DOUBLE_COST) for x, cost in letters])
         else:
-            choices = [(x, LEET_COST) for x in LEET.get(c, "")]
-            if c in DROPPED or not choices:
-                choices.append(("", DROP_COST if c in DROPPED else 3.0))
-            slots += [choices] * min(j - i, 64)
+            slots += [letters] * (j - i)
         i = j
     return slots
 
 
 def restore(piece: str, model: np.ndarray) -> str:
-    """The most likely letters behind a piece: Viterbi over the last two letters of each path."""
+    """The most likely letters behind a piece, words parted by a blank: Viterbi over the last two letters of each path."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for slot in lattice(piece):
         after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -105,7 +116,7 @@ def restore(piece: str, model: np.ndarray) -> str:
             for letters, cost in slot:
                 x, y, s = a, b, score - cost
                 for c in letters:
-                    k = ord(c) - 96
+                    k = letter_class(c)
                     s += model[x, y, k]
                     x, y = y, k
                 if (x, y) not in after or s > after[x, y][0]:
@@ -123,19 +134,23 @@ def _shifted(mask: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def hidden_pieces(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
-    """(document index, lower-case piece) wherever a block shows signs of leetspeak, repetition or spacing."""
+def hidden_pieces(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes, bool]]:
+    """(document index, lower-case piece, whether it is a run of spaced letters, here without what parts them) wherever a block shows
+    signs of leetspeak, repetition or spacing."""
     if len(data) < 3:
         return []
     low = LOWER[data]
     letter, leet, digit = _LETTER[data], _LEET[data], _DIGIT[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
-    broken = _BREAK[data]
-    found: list[tuple[int, bytes]] = []
-    # A sign right before a letter, not after a blank run of signs only; or one digit that ends a word.
-    ends_word = np.concatenate([broken[1:] | border[1:-1], [True]])
-    signs = (leet & _shifted(letter, 1) & ~border[1:]) | (digit & _shifted(letter, -1) & ~border[:-1] & ends_word)
+    broken = SPACE[data]
+    found: list[tuple[int, bytes, bool]] = []
+    # A sign right before a letter, or signs that follow a letter up to the word's end.
+    tail = _TAIL[data]
+    stop = np.where(~tail | border[:-1], np.arange(len(data)), len(data))
+    stop = np.append(np.minimum.accumulate(stop[::-1])[::-1], len(data))[1:]  # where the run of such signs after here ends
+    over = np.append(~(WORDLIKE[data] | tail), True)[stop] | border[stop]
+    signs = (leet & _shifted(letter, 1) & ~border[1:]) | (tail & _shifted(letter, -1) & ~border[:-1] & over)
     same = letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & ~border[1:-2] & ~border[2:-1]
     signs[:-2] |= same
     stops = np.flatnonzero(broken)
@@ -148,7 +163,7 @@ def hidden_pieces(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, byte
         left, right = np.maximum(left, offsets[doc]), np.minimum(right, offsets[doc + 1])
         first = np.concatenate([[True], left[1:] != left[:-1]])
         raw = low.tobytes()
-        found += [(d, raw[a:b]) for d, a, b in zip(doc[first].tolist(), left[first].tolist(), right[first].tolist(), strict=True)]
+        found += [(d, raw[a:b], False) for d, a, b in zip(doc[first].tolist(), left[first].tolist(), right[first].tolist(), strict=True)]
     # Letters or signs that stand alone, each one byte from the next, at least four in a row.
     core = letter | digit | (data == ord("@")) | (data == ord("$"))
     wordy = WORDLIKE[data] | core
@@ -161,7 +176,7 @@ def hidden_pieces(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, byte
         sizes = np.diff(np.concatenate([starts, [len(singles)]]))
         raw = low.tobytes()
         for s, n in zip(starts[sizes >= 4].tolist(), sizes[sizes >= 4].tolist(), strict=True):
-            found.append((int(doc[s]), raw[singles[s] : singles[s + n - 1] + 1]))
+            found.append((int(doc[s]), raw[singles[s] : singles[s + n - 1] + 1 : 2], True))
     return found
 
 
@@ -174,14 +189,18 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.one = lru_cache(1 << 16)(lambda piece: restore(piece, model))
 
-    def words(self, piece: bytes) -> list[bytes]:
-        """The restored words of a piece; signs that cannot be part of a word split it."""
+    def words(self, piece: bytes, spaced: bool = False) -> list[bytes]:
+        """The restored words of a piece; signs that cannot be part of a word split it. Among spaced letters nothing tells where
+        a word begins, so one may begin at each, and is given as far as beginnings reach."""
+        if spaced:
+            joined = self.one(piece.decode()).encode().replace(b" ", b"")
+            return [joined[i : i + PREFIXES[-1] + 1] for i in range(max(1, len(joined) - PREFIXES[0] + 1))]
         out = []
         for part in piece.strip(_EDGE).replace(b",", b"\n").replace(b"%", b"\n").replace(b"#", b"\n").replace(b"&", b"\n").split(b"\n"):
             part = part.strip(_EDGE)
-            if 3 <= len(part) and part.isascii():
-                out.append(self.one(part.decode()).encode())
-        return [w for w in out if w]
+            if len(part) >= 3:
+                out += self.one(part.decode("utf-8", "replace")).encode().split()
+        return out
 
 
 def piece_hashes(words: list[bytes], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,8 +228,8 @@ def block_features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer, le
     hashes, places = _hashes(prefix_sums(low), starts, ends, lengths)
     doc = doc[places]
     more, owner = [], []
-    for d, piece in hidden_pieces(data, offsets):
-        for word in restorer.words(piece):
+    for d, piece, spaced in hidden_pieces(data, offsets):
+        for word in restorer.words(piece, spaced):
             more.append(word)
             owner.append(d)
     if more:
@@ -238,51 +257,41 @@ class Marks:
         return np.clip(1 - clean, 0.0, 1.0)
 
 
-def learn_marks(rows: list[tuple[bytes, int]], prior: float, model: np.ndarray) -> Marks:
-    """Marks from (text, toxic) rows; `prior` is the share of toxic rows among all that are labelled."""
-    restorer, lengths = Restorer(model), (*PREFIXES, 0)
-    counts, size, toxic_features = (Counter(), Counter()), [0, 0], []
-    for text, toxic in dict(rows).items():  # copies count once
-        hashes, _ = block_features(np.frombuffer(text, np.uint8), np.array([0, len(text)]), restorer, lengths)
-        found = np.unique(hashes).tolist()
-        counts[toxic].update(found)
-        size[toxic] += 1
-        if toxic:
-            toxic_features.append(found)
-    if not size[0] or not size[1]:
-        return Marks((), np.zeros(0, np.uint64), np.zeros(0), prior)
-    odds = lambda h: math.log((counts[1][h] + 0.5) / (size[1] + 1)) - math.log((counts[0][h] + 0.5) / (size[0] + 1))
-    ranked = sorted((h for h, n in counts[1].items() if n >= LEAST_SUPPORT and odds(h) >= LEAST_LOG_ODDS), key=lambda h: (-counts[1][h], h))
+def likely_marks(toxic: np.ndarray, clean: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Where counts of toxic and clean rows allow a mark."""
+    odds = np.log((toxic + 0.5) / (size[1] + 1)) - np.log((clean + 0.5) / (size[0] + 1))
+    return (toxic >= LEAST_SUPPORT) & (odds >= LEAST_LOG_ODDS)
+
+
+def learn_marks(rows: list[tuple[int, np.ndarray]], hashes: np.ndarray, size: tuple[int, int], prior: float) -> Marks:
+    """Marks from rows (toxic, which of the candidates `hashes` it has); `size` counts clean and toxic rows, also those that have
+    none, and `prior` is the share of toxic rows among all that are labelled."""
+    toxic_rows = [has for toxic, has in rows if toxic]
+    counts = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(has for t, has in rows if t == toxic)]), minlength=len(hashes)) for toxic in (0, 1)]
+    has: list[list[int]] = [[] for _ in hashes]
+    for d, found in enumerate(toxic_rows):
+        for h in found.tolist():
+            has[h].append(d)
     # A mark counts by itself when it is common among toxic rows; else only if rows have it that no mark before explains.
-    place, has = {h: i for i, h in enumerate(ranked)}, [[] for _ in ranked]
-    for d, found in enumerate(toxic_features):
-        for h in found:
-            if h in place:
-                has[place[h]].append(d)
-    open_rows, kept = np.ones(len(toxic_features), bool), []
-    for h, rows_with in zip(ranked, has, strict=True):
-        if len(rows_with) >= max(2 * LEAST_SUPPORT, COMMON * size[1]) or open_rows[rows_with].sum() >= max(LEAST_SUPPORT, 0.01 * size[1]):
+    open_rows, kept = np.ones(len(toxic_rows), bool), []
+    for h in np.lexsort((hashes, -counts[1])).tolist():
+        if len(has[h]) >= max(2 * LEAST_SUPPORT, COMMON * size[1]) or open_rows[has[h]].sum() >= max(LEAST_SUPPORT, 0.01 * size[1]):
             kept.append(h)
-            open_rows[rows_with] = False
+            open_rows[has[h]] = False
+
     def likely(h: int) -> float:
         toxic, clean = prior * counts[1][h] / size[1], (1 - prior) * (counts[0][h] + 0.5) / size[0]
         return toxic / (toxic + clean)
 
     # A mark that clean rows have too goes when surer marks find all its toxic rows (a short beginning beside the whole word).
-    surest = np.zeros(len(toxic_features))
+    surest = np.zeros(len(toxic_rows))
     for h in kept:
-        of_h = has[place[h]]
-        surest[of_h] = np.maximum(surest[of_h], likely(h))
-    kept = [h for h in kept if not counts[0][h] or (surest[has[place[h]]] <= likely(h)).any()][:MOST_MARKS]
-    chance = [likely(h) for h in kept]
-    kept_set = set(kept)
-    unmarked = [0, 0]
-    for text, toxic in dict(rows).items():
-        hashes, _ = block_features(np.frombuffer(text, np.uint8), np.array([0, len(text)]), restorer, lengths)
-        unmarked[toxic] += not kept_set.intersection(hashes.tolist())
-    toxic, clean = prior * unmarked[1] / size[1], (1 - prior) * unmarked[0] / size[0]
+        surest[has[h]] = np.maximum(surest[has[h]], likely(h))
+    kept = [h for h in kept if not counts[0][h] or (surest[has[h]] <= likely(h)).any()]
+    marked = [sum(bool(np.isin(found, kept).any()) for t, found in rows if t == toxic) for toxic in (0, 1)]
+    toxic, clean = prior * (size[1] - marked[1]) / size[1], (1 - prior) * (size[0] - marked[0]) / size[0]
     base = min(toxic / (toxic + clean), 0.45) if clean else 0.45
-    return Marks(lengths, np.array(kept, np.uint64), np.array(chance), base)
+    return Marks((*PREFIXES, 0), hashes[kept], np.array([likely(h) for h in kept]), base)
 
 
 def held_out_column():
@@ -290,17 +299,50 @@ def held_out_column():
     return digest_id() % 5 == 0
 
 
+def sample_features(documents: DataFrame, labels: DataFrame, model: np.ndarray) -> DataFrame:
+    """(tie, toxic, features) of the sample: each text once, with the hashes of the beginnings of its words."""
+    place = F.xxhash64("doc_id")
+    picked = labels.where("toxic = 1").orderBy(place, "doc_id").limit(SAMPLE_TOXIC).union(labels.where("toxic = 0").orderBy(place, "doc_id").limit(SAMPLE_CLEAN))
+    sample = durable(picked)  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows, so it may be sent to every task
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer, seen = Restorer(model), set()
+        for block, data, offsets in text_blocks(batches):
+            rows = list(zip(block.column("tie").to_pylist(), block.column("toxic").to_pylist(), strict=True))
+            fresh = [k for k, row in enumerate(rows) if row not in seen and not seen.add(row)]  # copies are read once a task
+            parts = [data[offsets[k] : offsets[k + 1]] for k in fresh]
+            found = [np.unique(block_features(part, np.array([0, len(part)]), restorer, (*PREFIXES, 0))[0]).view(np.int64) for part in parts]
+            columns = [pa.array([rows[k][i] for k in fresh], kind) for i, kind in enumerate((pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=["tie", "toxic", "features"])
+
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
+    read = rows.select(F.xxhash64("text").alias("tie"), "toxic", "text").mapInArrow(run, "tie long, toxic int, features array<long>")
+    return read.groupBy("tie").agg(F.max("toxic").alias("toxic"), F.first("features").alias("features"))  # one text has one list
+
+
 def fit(documents: DataFrame, labels: DataFrame, model: np.ndarray) -> Marks:
     """Marks learned from a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out_column()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     total = sum(shares.values())
-    place = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(place, "doc_id").limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(place, "doc_id").limit(SAMPLE_CLEAN))
-    sample = durable(picked)  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows, so it may be sent to every task
-    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
-    rows = sorted((r["text"].encode(), r["toxic"]) for r in found.limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect())
-    return learn_marks(rows, shares.get(1, 0) / total if total else 0.0, model)
+    prior = shares.get(1, 0) / total if total else 0.0
+    rows = durable(sample_features(documents, known, model))
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    size = (sizes.get(0, 0), sizes.get(1, 0))
+    if not all(size):
+        return Marks((), np.zeros(0, np.uint64), np.zeros(0), prior)
+    counted = rows.select("toxic", F.explode("features").alias("hash")).groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    often = counted.where(F.col("toxic") >= LEAST_SUPPORT).toArrow()
+    toxic, clean = (often.column(c).to_numpy() for c in ("toxic", "clean"))
+    hashes = np.sort(often.column("hash").to_numpy()[likely_marks(toxic, clean, size)].view(np.uint64))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.flatnonzero(np.isin(hashes, f.values.to_numpy().view(np.uint64))) for f in b.column("features")]
+            yield pa.RecordBatch.from_arrays([b.column("tie"), b.column("toxic"), pa.array(found, pa.list_(pa.int64()))], names=["tie", "toxic", "found"])
+
+    placed = rows.mapInArrow(place, "tie long, toxic int, found array<long>").where(F.size("found") > 0).collect()
+    return learn_marks([(r["toxic"], np.array(r["found"], np.int64)) for r in sorted(placed, key=lambda r: r["tie"])], hashes, size, prior)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -310,7 +352,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and prediction of every document."""
     model = character_model(trigram_counts(documents))
     marks = fit(documents, labels, model)
-    sent = documents.sparkSession.sparkContext.broadcast((model, marks))  # 27**3 numbers and at most MOST_MARKS marks
+    sent = documents.sparkSession.sparkContext.broadcast((model, marks))  # 27**3 numbers and the marks of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, marks = sent.value
