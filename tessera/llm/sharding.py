@@ -8,7 +8,8 @@ Placement is a projection of each row and shuffles nothing. Numbering within sha
 (map-side), then counts within (shard, bucket), so no task holds a whole shard.
 
 Defined cases: a null key counts as key 0; a null text has size 16 and CRC 0; equal rows take consecutive slots; an empty
-table gives an empty result; further columns are ignored (place() keeps them, and replaces columns of its own names).
+table gives an empty result; texts of any length count in full, and only their digests are shuffled; further columns are ignored (place() keeps
+them, and replaces columns of its own names).
 """
 
 from __future__ import annotations
@@ -80,10 +81,11 @@ def number_slots(digests: DataFrame, buckets: int = 64) -> DataFrame:
     copies = copies.withColumn("_bucket", bucket)
     totals = copies.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_total"))
     by_bucket = Window.partitionBy("shard").orderBy("_bucket")
-    firsts = totals.select("shard", "_bucket", (F.sum("_total").over(by_bucket) - F.col("_total")).alias("_first"))
+    firsts = totals.select(F.col("shard").alias("_shard"), F.col("_bucket").alias("_of"), (F.sum("_total").over(by_bucket) - F.col("_total")).alias("_first"))
     order = Window.partitionBy("shard", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     ranked = copies.withColumn("_before", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    ranked = ranked.join(firsts, ["shard", "_bucket"])
+    # At most shards * buckets rows, so a broadcast; no NULL meets, but a null-safe join adds no filter, so both sides share one exchange.
+    ranked = ranked.join(F.broadcast(firsts), F.col("shard").eqNullSafe(F.col("_shard")) & F.col("_bucket").eqNullSafe(F.col("_of")))
     step = 1 << 16  # many copies are spread out in two steps, so that no array grows with their number
     parts = ranked.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_n - 1) div {step})")))
     parts = parts.withColumn("_k", F.explode(F.expr(f"sequence(_part * {step}, least(_n - 1, _part * {step} + {step - 1}))")))
