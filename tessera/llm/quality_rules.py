@@ -24,6 +24,8 @@ from tessera.llm.textkit import gram_buckets, packed, sums_by_document, text_blo
 BITS = 16
 THRESHOLD = -0.35
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
+#: So many trusted ids are sent to every task; at 8 bytes each and as much again for the table they take 16 MB.
+MOST_SENT = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -52,14 +54,18 @@ def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, repeated_lines, repeated
 
 
-def gram_counts(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket over trusted documents and over all documents."""
-    trusted = labels.where(F.col("quality") == 1).select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("trusted", F.lit(True))
-    rows = packed(documents.select("doc_id", "text")).join(trusted.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def gram_counts(documents: DataFrame, labels: DataFrame, bits: int = BITS, most_sent: int = MOST_SENT) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket over trusted documents and over all documents.
+
+    Up to `most_sent` trusted ids are sent to every task, which flags its rows in the one pass over the texts. More of them meet
+    the (compressed) texts in a merge join, beside a pass that needs no ids; the counts are the same.
+    """
+    trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    rows = documents.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        for block, data, offsets in text_blocks(unpacked(batches)):
+        for block, data, offsets in text_blocks(batches):
             codes, sizes = gram_buckets(data, offsets, bits)
             total += np.bincount(codes, minlength=1 << bits)
             flags = np.array(block.column("trusted").to_pylist(), bool)
@@ -67,9 +73,19 @@ def gram_counts(documents: DataFrame, labels: DataFrame, bits: int = BITS) -> tu
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(good[seen], pa.int64()), pa.array(total[seen], pa.int64())], names=["bucket", "good", "raw"])
 
-    summed = rows.mapInArrow(count, "bucket long, good long, raw long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"))
+    def count_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return count(unpacked(batches))
+
+    schema = "bucket long, good long, raw long"
+    if trusted.count() <= most_sent:
+        flagged = rows.join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+        counted = flagged.mapInArrow(count, schema)
+    else:
+        every = rows.select("text", F.lit(False).alias("trusted")).mapInArrow(count, schema)
+        known = packed(rows.where(F.col("doc_id").isNotNull())).join(trusted.hint("merge"), "doc_id").select("text", "trusted")
+        counted = every.union(known.mapInArrow(count_packed, schema).withColumn("raw", F.lit(0).cast("long")))
     good, raw = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    for row in summed.collect():  # at most 2**bits rows
+    for row in counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).collect():  # at most 2**bits rows
         good[row["bucket"]], raw[row["bucket"]] = row["good"], row["raw"]
     return good, raw
 
