@@ -166,22 +166,55 @@ def test_quality_rules(spark, odd):
     assert got == want
 
 
-def test_bpe_agrees_with_the_library(spark, odd):
+def test_gram_counts(spark, odd):
+    """Trusted and raw counts by brute force, with the ids sent and with the ids joined."""
+    import numpy as np
+
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").union(spark.createDataFrame([(None, 1, 0), (4, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int"))
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1} - {None}
+    good, raw = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    for r in df.collect():
+        data = (r.text or "").encode()
+        for i in range(len(data) - 3):
+            bucket = int.from_bytes(data[i : i + 4], "little") * 0x9E3779B1 % (1 << 32) >> 16
+            raw[bucket] += 1
+            good[bucket] += r.doc_id in trusted
+    for most in (10**6, 0):
+        got = quality_rules.gram_counts(df, labels, most_sent=most)
+        assert (got[0] == good).all()
+        assert (got[1] == raw).all()
+
+
+def test_written_shards(spark, tmp_path):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sharding.write_shards(df, str(tmp_path / "out"), 7)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in df.collect())
+    assert all(r.shard == plain_jump(r.doc_id, 7) for r in back.collect())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_agrees_with_the_library(spark, odd, name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     t.no_truncation()
     t.no_padding()
-    more = spark.createDataFrame([(100, "x<|endoftext|>y İK é ́x it's 123 a\x85b\x1cc"), (101, "ab" * 5000), (102, "ΣΑΣ ΟΔΟΣ")], "doc_id long, text string")
+    more = spark.createDataFrame([(100, "x<|endoftext|>y İK é ́x it's 123 a\x85b\x1cc"), (101, "ab" * 5000), (102, "ΣΑΣ ΟΔΟΣ")], "doc_id long, text string")
     df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text")).union(more)
-    got = Counter(map(tuple, bpe.bpe_digests(df).collect()))
-    want = Counter()
+    got = Counter(map(tuple, bpe.bpe_digests(df, public_tokenizers.path(name)).collect()))
+    encoded = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.bpe_encode(df, public_tokenizers.path(name)).collect())
+    want, plain = Counter(), Counter()
     for r in df.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids
+        text = t.decode(ids, skip_special_tokens=False)
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
-        want[(r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())] += 1
+        want[(r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += 1
+        plain[(r.doc_id, tuple(ids), text)] += 1
     assert got == want
+    assert encoded == plain
 
 
 def plain_secrets(text: str | None) -> list[tuple[int, int, str]]:
@@ -222,3 +255,43 @@ def test_language_id(spark, odd):
     rows = langid.language_digests(odd).collect()
     assert all((r.lang_pred == "und") == (r.doc_id in (1, 2, 7)) for r in rows)
     assert langid.keep_identified(odd, 0.0).columns == odd.columns
+
+
+def test_language_id_by_brute_force():
+    """Convolution, pooling and softmax in plain loops; tables over pairs of bytes give the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"abcdefgh .\xc3\xa4"), 300 + 40 * k)) for k in range(6)]
+    x = np.concatenate([langid.sampled_windows(np.frombuffer(t, np.uint8)) for t in texts])
+    net = langid.train(x, ["p", "q", "r"] * (len(x) // 3) + ["p"] * (len(x) % 3))
+    got = net.probabilities(x[:4])
+    for window, row in zip(x[:4].tolist(), got, strict=True):
+        pooled = []
+        for w in net.filters:
+            for f in range(langid.FILTERS):
+                pooled.append(max(sum(float(w[k, window[i + k], f]) for k in range(len(w))) for i in range(langid.WINDOW - len(w) + 1)))
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.dense + net.dense_bias
+        p = np.exp(z - z.max())
+        assert np.abs(p / p.sum() - row).max() < 1e-4
+
+
+def test_language_stage_keeps_columns_and_copies_do_not_displace_rows(spark):
+    words = {"en": "the house and the river with this other thing".split(), "de": "das haus und der fluss mit diesem anderen ding".split()}
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, 99.0, f"own {i}") for i, lang in enumerate(["en", "de"] * 60)]
+    rows += [(5000, " ".join(words["en"] * 5), "en", 98.0, "copy")] * 1000
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    assert Counter(map(tuple, langid.keep_identified(made).collect())) == Counter(rows)
+    unlabelled = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_identified(unlabelled).collect()] == [1]
+
+
+def test_training_windows_come_from_the_whole_text():
+    import numpy as np
+
+    data = np.frombuffer(b"".join(bytes([97 + k % 26]) * langid.WINDOW for k in range(200)), np.uint8)
+    seen = {bytes(w) for start in range(0, 150, 10) for w in langid.sampled_windows(data[start * langid.WINDOW :])}
+    assert any(w not in {bytes(x) for x in langid.windows(data)[:3]} for w in seen)
