@@ -273,6 +273,23 @@ def profile_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.histograms(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
 
 
+CELLS = (
+    "print('rows', len(sql('SELECT * FROM t')))",
+    "int(frame('SELECT * FROM t WHERE s_suppkey > $1', [3]).selectExpr('sum(s_suppkey)').first()[0])",
+    "n = sql('DELETE FROM t WHERE s_suppkey <= 3')\nfor k in range(2):\n    print(k, n)",
+    "sql('SELECT nothing FROM t')",
+    "n",
+    "sql('SELECT count(*) AS n FROM t').n.tolist()",
+)
+
+
+def python_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cells print, their values and whether they fail; a cell sees the writes of those before, not their names."""
+    engine = _engine(spark, sf_dir)
+    found = [(k, *(r := engine.cell(code))[:2], r.error is not None) for k, code in enumerate(CELLS)]
+    return spark.createDataFrame(found, "place int, printed string, value string, failed boolean")
+
+
 _T = "SELECT s_suppkey, s_name, s_acctbal FROM supplier"
 ORACLES = {
     "insert_select": f"{_T} UNION ALL SELECT s_suppkey + 100000, s_name, s_acctbal * 2 FROM supplier WHERE s_suppkey % 2 = 0",
@@ -309,6 +326,11 @@ ORACLES = {
     )
     + ") v(place, step, found)",
     "cancel_query": "SELECT 'cancelled' AS outcome, count(*) AS n FROM supplier",
+    "python_cell": """SELECT 0 AS place, 'rows ' || count(*) || chr(10) AS printed, NULL AS value, false AS failed FROM supplier
+        UNION ALL SELECT 1, '', CAST(sum(s_suppkey) AS VARCHAR), false FROM supplier WHERE s_suppkey > 3
+        UNION ALL SELECT 2, '0 ' || count(*) || chr(10) || '1 ' || count(*) || chr(10), NULL, false FROM supplier WHERE s_suppkey <= 3
+        UNION ALL SELECT 3, '', NULL, true UNION ALL SELECT 4, '', NULL, true
+        UNION ALL SELECT 5, '', '[' || count(*) || ']', false FROM supplier WHERE s_suppkey > 3""",
     "explain_tree": "SELECT * FROM (VALUES ('Aggregate'), ('Filter')) v(op)",
     "profile_table": " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS null_count, round((count(*) - count({c})) * 100.0 / count(*), 4) AS null_pct, count(DISTINCT {c}) AS n_distinct,
@@ -332,7 +354,7 @@ ORACLES = {
 
 QUERIES = (
     insert_select, delete_where, update_set, merge_upsert, snapshot_restore, transaction_commit, insert_values, rollback, merge_delete, constraints, recovery, two_writers, folded_log,
-    catalogue_changes, upload_bytes, table_sample, cached_table, history_and_parameters, cursor_statements, cancel_query, explain_tree, profile_table, profile_top_values, profile_histograms,
+    catalogue_changes, upload_bytes, table_sample, cached_table, history_and_parameters, cursor_statements, cancel_query, python_cell, explain_tree, profile_table, profile_top_values, profile_histograms,
     *(_exported(kind) for kind in ("parquet", "csv", "tsv", "json", "arrow")),
 )
 
