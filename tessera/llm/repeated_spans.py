@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import BLOCK_BYTES, durable, mix, packed, powers, prefix_sums, release, slice_hashes, text_blocks, whole_groups
+from tessera.llm.textkit import BLOCK_BYTES, durable, mix, packed, powers, prefix_sums, shuffles_freed, slice_hashes, text_blocks, whole_groups
 
 SPAN = 100
 GRAM = 32
@@ -281,9 +281,8 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
             yield _emit(np.full(len(doc), FULL), np.zeros(len(doc), np.int64), doc, tie, low, high, np.full(len(doc), FULL))
 
     def settled(sent: DataFrame, settle_with) -> DataFrame:
-        made = durable(sent.repartition("key").sortWithinPartitions("key").mapInArrow(settle_with, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
-        release(documents.sparkSession)
-        return made
+        with shuffles_freed(documents.sparkSession):
+            return durable(sent.repartition("key").sortWithinPartitions("key").mapInArrow(settle_with, ROW).select(F.col("key").cast("int").alias("kind"), "doc", "tie", "place"))
 
     def still_open(marks: DataFrame) -> DataFrame:
         places = marks.where(F.col("kind") == PARTIAL).groupBy("doc", "tie").agg(F.collect_set("place").alias("places"))  # of one document

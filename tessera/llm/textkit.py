@@ -6,10 +6,9 @@ worker's memory depends on the block size (or on one document, if it is longer)
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +60,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to collect its garbage, which frees the shuffles behind tables that durable() has cut off.
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark removes the shuffle files of each execution at its end; they are of no use once durable() has cut a table off.
 
-    Spark's listeners hold the last query until they have handled its end, hence the pause.
+    Versions that do not know the setting keep them until the driver collects its garbage.
     """
-    gc.collect()
-    time.sleep(1)
-    spark.sparkContext._jvm.System.gc()
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
 
 
 def digest_id(column: str = "doc_id"):
