@@ -3,7 +3,7 @@
 Passages are windows of WINDOW words at every HALF words. Terms are hashed to DIMS, weighted by TF-IDF (document frequencies
 over all passages of the corpus), and projected on the leading right singular vectors of the passage matrix, scaled by
 their singular values. The vectors come from a randomised decomposition in one distributed pass (range finder with a Nystrom
-step) over a bounded sample of documents: SAMPLE expected rows by a hash. All passages of all documents are then searched.
+step) over all passages (of HALF words) of all documents. All passages of all documents are then searched.
 
 Items are cut into windows too; a passage is a candidate of an item when the cosine of two of their windows reaches
 COSINE. Beside this, an exact route loses nothing: an item's rarest words are chosen so that at least `least`
@@ -36,7 +36,7 @@ BITS = 12
 DIMS = 1 << BITS
 RANK, OVERSAMPLED = 48, 64
 WINDOW, HALF = 32, 16
-SAMPLE = 4000
+RUNS = 4096  # passages weighed at once, of a text of any length
 ITEMS = 1000
 COSINE = 0.35
 LCS_SURE, LCS_MAYBE = 0.75, 0.5
@@ -90,35 +90,28 @@ def _probe() -> np.ndarray:
     return np.random.default_rng(11).normal(size=(DIMS, OVERSAMPLED)).astype(np.float32)
 
 
-def latent_basis(documents: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
-    """(DIMS, RANK): TF-IDF weights times singular vectors over singular values, from a bounded sample of documents."""
-    rows = documents.select("text").where(F.col("text").isNotNull())
-    total = rows.count()
-    share = min(1.0, sample / total) if total else 1.0
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def latent_basis(documents: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """(DIMS, RANK): TF-IDF weights times singular vectors over singular values, of the passages of all documents."""
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, out = _probe(), np.zeros((DIMS, OVERSAMPLED))
-        for _, data, offsets in text_blocks(batches, 1 << 18):
+        probe, out = np.ascontiguousarray(_probe().T, float), np.zeros((OVERSAMPLED, DIMS))
+        for _, data, offsets in text_blocks(batches):
             hashes, doc = words_of(data, offsets)
             firsts, _ = halves(doc, len(offsets) - 1)
-            if not len(firsts):
-                continue
-            dims = dims_of(hashes)
-            value = idf[dims]
-            sizes = np.diff(np.concatenate([firsts, [len(hashes)]]))
-            norm = np.sqrt(np.add.reduceat(value * value, firsts)) + 1e-9
-            value = value / np.repeat(norm, sizes)
-            seen = np.add.reduceat(probe[dims] * value[:, None], firsts, axis=0)
-            back = np.repeat(seen, sizes, axis=0) * value[:, None]
-            order = np.argsort(dims, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], dims[order][1:] != dims[order][:-1]]))
-            out[dims[order][first]] += np.add.reduceat(back[order], first, axis=0)
-        used = np.flatnonzero(np.abs(out).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(out[used, k]) for k in range(OVERSAMPLED))], names=["dim", *(f"c{k}" for k in range(OVERSAMPLED))])
+            every, ends = dims_of(hashes), np.append(firsts, len(hashes))
+            for low in range(0, len(firsts), RUNS):
+                cut = ends[low : low + RUNS + 1]
+                dims, first = every[cut[0] : cut[-1]], cut[:-1] - cut[0]
+                value, run = idf[dims], np.repeat(np.arange(len(first)), np.diff(cut))
+                value /= (np.sqrt(np.add.reduceat(value * value, first)) + 1e-9)[run]
+                for column, total in zip(probe, out, strict=True):  # one column at a time: sums of whole rows take twice as long
+                    seen = np.add.reduceat(column[dims] * value, first)
+                    total += np.bincount(dims, seen[run] * value, DIMS)
+        used = np.flatnonzero(np.abs(out).sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(column[used]) for column in out)], names=["dim", *(f"c{k}" for k in range(OVERSAMPLED))])
 
     schema = "dim long, " + ", ".join(f"c{k} double" for k in range(OVERSAMPLED))
-    sums = rows.where(place < share).mapInArrow(accumulate, schema).groupBy("dim").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(OVERSAMPLED)])
+    sums = documents.select("text").mapInArrow(accumulate, schema).groupBy("dim").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(OVERSAMPLED)])
     ranged = np.zeros((DIMS, OVERSAMPLED))
     for row in sums.collect():  # at most DIMS rows
         ranged[row["dim"]] = row[1:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm import decontamination as dc
@@ -70,3 +71,38 @@ def test_nothing_is_missed(spark, planted):
     assert len(want) >= 150
     assert want <= got
     assert not {(d, i) for d, i in got - want if i >= 1000}
+
+
+def test_basis_is_of_all_passages(spark):
+    """Over more rows than a former sample held; passages of 30 kinds, so the vectors are those of the dense matrix."""
+    rng = random.Random(3)
+    pool = [f"w{n}" for n in range(300)]
+    kinds = [" ".join(rng.sample(pool, dc.HALF)) for _ in range(30)]
+    counts = rng.choices(range(100, 300), k=30)
+    docs = spark.createDataFrame([(kinds[k],) for k in range(30) for _ in range(counts[k])] + [(None,), ("",)], "text string").repartition(5)
+    assert sum(counts) > 4000
+    frequencies, passages = dc.passage_frequencies(docs)
+    assert passages == sum(counts)
+    idf = np.log((passages + 1.0) / (frequencies + 1.0)) + 0.05
+    rows = np.zeros((30, dc.DIMS))
+    for k, text in enumerate(kinds):
+        data = np.frombuffer(text.encode(), np.uint8)
+        dims = dc.dims_of(dc.words_of(data, np.array([0, len(data)]))[0])
+        np.add.at(rows[k], dims, idf[dims])
+        rows[k] *= np.sqrt(counts[k] / (idf[dims] ** 2).sum())
+    _, strength, right = np.linalg.svd(rows, full_matrices=False)
+    want = idf[:, None] * right.T / strength
+    got = dc.latent_basis(docs, idf).astype(float)
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3 * np.abs(want @ want.T).max())
+
+
+def test_basis_of_a_long_text(spark):
+    """A text of more passages than are weighed at once counts as its passages in texts of their own do."""
+    rng = random.Random(4)
+    pool = [f"w{n}" for n in range(500)]
+    passages = [" ".join(rng.choices(pool, k=dc.HALF)) for _ in range(40)]
+    texts = [passages[n % 40] for n in range(dc.RUNS + 50)]
+    idf = np.random.default_rng(5).random(dc.DIMS) + 1
+    apart = dc.latent_basis(spark.createDataFrame([(t,) for t in texts], "text string"), idf).astype(float)
+    one = dc.latent_basis(spark.createDataFrame([(" ".join(texts),)], "text string"), idf).astype(float)
+    assert np.allclose(apart @ apart.T, one @ one.T, atol=1e-3 * np.abs(one @ one.T).max())
