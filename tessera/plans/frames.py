@@ -4,13 +4,15 @@ Spark takes all rows of a window's partition in one task; without PARTITION BY t
 of fixed bounds sees no further than its reach, so the keys are cut into stretches of a power of two, at least eight times the reach. A row goes to the
 stretch of its key, and near a border to the next one too; windows are partitioned by stretch as well, and each row's value is that of its own
 stretch, which holds the whole frame. A stretch has a bounded number of keys. Rows of one key stay together, as do those without a key, which are each
-other's frame. Other windows are left as they are.
+other's frame. Other windows are left as they are. A copy's own frame may be cut; its value is dropped, but a sum so near the end of its type that only a part
+of the frame passes it would raise there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.java_gateway import JavaClass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,22 +48,25 @@ def _reach(window) -> int | None:
 
 class _Spreading:
     def __init__(self, df: DataFrame):
-        self.spark, self.jvm = df.sparkSession, df.sparkSession._jvm
-        self.mark = self.jvm.org.apache.spark.sql.catalyst.trees.TreePattern.WINDOW()
+        self.spark, self.client = df.sparkSession, df.sparkSession.sparkContext._gateway._gateway_client
+        self.mark = self.java("org.apache.spark.sql.catalyst.trees.TreePattern").WINDOW()
+
+    def java(self, name: str) -> JavaClass:
+        """A class by its whole name; through the gateway's packages each part of the name would be asked for."""
+        return JavaClass(name, self.client)
 
     def frame(self, plan) -> DataFrame:
-        return DataFrame(self.jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
+        return DataFrame(self.java("org.apache.spark.sql.classic.Dataset").ofRows(self.spark._jsparkSession, plan), self.spark)
 
     def column(self, expression) -> Column:
-        return Column(self.jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+        return Column(self.java("org.apache.spark.sql.classic.ExpressionUtils").column(expression))
 
     def seq(self, items: list):
-        return self.jvm.PythonUtils.toSeq(items)
+        return self.spark._jvm.PythonUtils.toSeq(items)
 
     def above(self, child, step: Callable[[DataFrame], DataFrame]):
         """What `step` puts on a plan, resolved over an empty table of its columns: the plan may refer to a WITH further up."""
-        logical = self.jvm.org.apache.spark.sql.catalyst.plans.logical
-        empty = logical.LocalRelation(child.output(), self.seq([]), False, self.jvm.scala.Option.empty())
+        empty = self.java("org.apache.spark.sql.catalyst.plans.logical.LocalRelation")(child.output(), self.seq([]), False, self.java("scala.Option").empty())
 
         def graft(node):
             below = _list(node.children())
@@ -96,7 +101,7 @@ class _Spreading:
         for w in reversed(chain):
             plan = w.copy(w.windowExpressions(), w.partitionSpec().appended(stretch), w.orderSpec(), plan, w.hint())
         own = self.above(plan, lambda df: df.where(self.column(stretch).eqNullSafe(home)))
-        return self.jvm.org.apache.spark.sql.catalyst.plans.logical.Project(top.output(), own)
+        return self.java("org.apache.spark.sql.catalyst.plans.logical.Project")(top.output(), own)
 
 
 def spread(df: DataFrame) -> DataFrame:
